@@ -5,8 +5,8 @@ are compared with the same histograms of the whole language by Jensen-Shannon di
 References are counted over every document: each task sums its classes and short words, and
 the sums are added per language, so no group is ever gathered. The common words of a language
 are the COMMON most frequent among words of at most SHORT bytes (function words are short),
-which keeps what is counted small and exact. Guards: a histogram of fewer than MIN_CHARS
-characters or MIN_WORDS words says nothing and passes.
+which keeps what is counted small and exact; signs without a letter are no words here. Guards: a histogram of fewer than GUARD_CHARS
+characters or GUARD_WORDS words says nothing and passes.
 
 Defined results: null text counts as empty, which fails the base rule (fewer than 20 words);
 null and empty lang form languages of their own; a language without common words passes the
@@ -30,7 +30,7 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEATED = 20, 30  # words, percent of words in repeated windows
 SHORT, COMMON = 6, 64
 GUARD_CHARS, GUARD_WORDS = 200, 60
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.35, 0.80
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.35, 0.48
 
 CLASSES = ("lower", "upper", "digit", "blank", "line", "point", "symbol", "other", "beyond")
 
@@ -114,6 +114,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         .groupBy("lang", "kind", "key")
         .agg(F.sum("n").alias("n"))
     )
+    counts = counts.where((F.col("kind") != "word") | F.expr("decode(key, 'UTF-8') rlike '\\\\p{L}'"))
     rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key"))
     found: dict = defaultdict(lambda: {"class": {}, "word": {}, "total": {}})
     for r in counts.withColumn("rank", rank).where(F.col("rank") <= COMMON).collect():
