@@ -4,10 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ngram_join, quality_rules, token_counts
+from . import bpe, mixing, ngram_join, quality_rules, secrets, sharding, token_counts
 from .common import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def _op1_sql() -> str:
+    """Spans from gaps and matches, as re2 finds them; letters in either case are spelled out, since re2 would fold more than ASCII."""
+
+    def either(pattern: str) -> str:
+        head, sep, tail = pattern.partition("(?i:")
+        if not sep:
+            return pattern
+        words, _, rest = tail.partition("))")
+        return head + "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words) + ")" + rest
+
+    parts, counts = [], []
+    for n, r in enumerate(secrets.RULES):
+        expression = "'" + either(r.pattern).replace("'", "''") + "'"
+        parts.append(f"""
+    list_filter(list_transform(range(1, len(h{n}) + 1), lambda i: {{'s': coalesce(list_sum(list_transform(g{n}[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(h{n}[1:i - 1], lambda h: length(h))), 0), 'r': {n}, 'k': '{r.kind}', 'n': length(h{n}[i]), 'p': length(p{n}[i])}}), lambda x: x.p >= {r.least})""")
+        counts.append(f"regexp_extract_all(t, {expression}) AS h{n}, string_split_regex(t, {expression}) AS g{n}, regexp_extract_all(t, {expression}, {r.group}) AS p{n}")
+
+    def listed(of: str) -> str:
+        return f"coalesce(array_to_string(list_transform({of}, lambda x: x.k || ':' || CAST(CAST(x.s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(x.s + x.n AS BIGINT) AS VARCHAR)), ','), '')"
+
+    kinds = ", ".join(f"CAST(len(list_filter(f, lambda x: x.r = {n})) AS BIGINT) AS n_{r.kind}" for n, r in enumerate(secrets.BASE))
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
+), m AS (SELECT doc_id, {", ".join(counts)} FROM t
+), f AS (SELECT doc_id, list_sort(flatten([{", ".join(parts)}])) AS f FROM m)
+SELECT doc_id, {kinds}, sha256({listed(f"list_filter(f, lambda x: x.r < {len(secrets.BASE)})")}) AS base_sha256, {listed("f")} AS spans FROM f
+"""
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
@@ -16,6 +49,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), "byte_bpe_50k.json", limit=512)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), width=3, percent=90)
     return found.select("doc_id", "n_shingles", "component_id")
@@ -47,12 +88,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
     "op5_token_counts": op5_token_counts,
+    "op6_mixing": op6_mixing,
     "op8_ngram_join": op8_ngram_join,
+    "op9_sharding": op9_sharding,
     "op10_bpe": op10_bpe,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_secret_scan": _op1_sql(),
     "op8_ngram_join": OP8_SQL,
 }
