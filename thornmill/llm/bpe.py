@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -207,7 +208,7 @@ def encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", ids: bool = Tr
                 coded.append(hashlib.sha256(joined.encode()).hexdigest())
                 decoded.append(hashlib.sha256(b"".join(raw).decode("utf-8", "replace").encode()).hexdigest())
                 if ids:
-                    lists.append([int(x) for x in joined.split(",")] if joined else [])
+                    lists.append(np.array(joined.split(","), np.int32) if joined else np.empty(0, np.int32))
             arrays = [batch.column(0), pa.array(counts, pa.int64()), *([pa.array(lists, pa.list_(pa.int32()))] if ids else []), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", *(["ids"] if ids else []), "ids_sha256", "decoded_sha256"])
 

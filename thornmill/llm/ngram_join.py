@@ -112,13 +112,13 @@ def keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def _sketch(width: int, percent: int):
-    """(doc_id, n, sid, keys): keys only where this task hasn't lately met the set."""
+    """(doc_id, row, n, sid, keys): keys only where this task hasn't lately met the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
         for batch in pieces(batches, most=4 << 20):
             sizes, sids, lists = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 h = shingles(text, width)
                 sizes.append(len(h))
                 sids.append(sid := set_id(h))
@@ -131,7 +131,7 @@ def _sketch(width: int, percent: int):
                 lists.append(keys(h, bands).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))], ["doc_id", "n", "sid", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))], ["doc_id", "row", "n", "sid", "keys"])
 
     return run
 
@@ -251,12 +251,12 @@ def _verify(percent: int):
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, sid of each row; documents link when 100 * |A and B| >= percent * |A or B|."""
+    """doc_id, n_shingles, component_id, root (null for empty sets; the same within a component) and row (a hash of id and text) of each row; documents link when 100 * |A and B| >= percent * |A or B|."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = cut(texts.mapInArrow(_sketch(width, percent), "doc_id long, n long, sid long, keys array<long>"))
-    light = sketch.select("doc_id", "n", "sid")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    sketch = cut(texts.mapInArrow(_sketch(width, percent), "doc_id long, row long, n long, sid long, keys array<long>"))
+    light = sketch.select("doc_id", "row", "n", "sid")
 
     rows = sketch.select(F.explode("keys").alias("key"), "sid")
     ties = rows.repartition(n, "key").sortWithinPartitions("key", "sid").mapInArrow(_ties, "a long, b long")
@@ -280,5 +280,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     named = own.join(roots, own.sid == roots.node, "left").select("sid", "first", F.coalesce("root", "sid").alias("root"))
     named = cut(named)
     least = named.groupBy("root").agg(F.min("first").alias("component"))
-    named = cut(named.join(least, "root").select(F.col("sid").alias("own_sid"), "component"))
-    return light.join(named, (light.sid == named.own_sid) & (light.n > 0), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "sid")
+    named = cut(named.join(least, "root").select(F.col("sid").alias("own_sid"), "component", "root"))
+    return light.join(named, (light.sid == named.own_sid) & (light.n > 0), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("root")).alias("root"), "row")
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without all but one of each component: the one with the smallest id (null after all) stays.
+
+    Texts move only if more rows go than can be broadcast, or if rows are repeated as a whole.
+    """
+    found = cut(near_duplicates(docs, width, percent, id_col, text_col))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = cut(found.where("root IS NOT NULL").groupBy("root").agg(F.min(place).alias("first")).select("root", F.col("first.row").alias("stays")))
+    goes = cut(found.join(first, "root").where("row <> stays").select("row").distinct())
+    again = cut(found.where("root IS NOT NULL").groupBy("row").count().where("count > 1").select("row"))
+    rows = docs.withColumn("__row", F.xxhash64(id_col, text_col))
+
+    def listed(df: DataFrame) -> DataFrame:
+        df = df.withColumnRenamed("row", "__row")
+        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+    rows = rows.join(listed(goes), "__row", "left_anti")
+    if not again.isEmpty():
+        twice = listed(again)
+        rows = rows.join(twice, "__row", "left_anti").unionByName(rows.join(twice, "__row", "left_semi").dropDuplicates(["__row"]))
+    return rows.select(*docs.columns)

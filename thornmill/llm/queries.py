@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, ngram_join, quality_rules, secrets, sharding, token_counts
+from . import bpe, mixing, ngram_join, quality_model, quality_rules, secrets, sharding, token_counts, toxicity, vp_search
 from .common import table
 
 
@@ -45,6 +45,34 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"), threshold=0.3)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"), threshold=0.5)
+
+
+def op4_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Factor one: the search is exact."""
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return vp_search.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10, factor=1.0)
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), d AS (
+  SELECT q.vec_id AS query_id, v.vec_id,
+    sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - v.e[i]) * (q.e[i] - v.e[i])), lambda a, b: a + b)) AS score
+  FROM v q JOIN v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id AND len(v.e) = len(q.e)
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), "byte_bpe_50k.json", limit=512)
 
@@ -90,8 +118,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
+    "op3_quality_model": op3_quality_model,
+    "op4_vp_search": op4_vp_search,
     "op5_token_counts": op5_token_counts,
     "op6_mixing": op6_mixing,
+    "op7_toxicity": op7_toxicity,
     "op8_ngram_join": op8_ngram_join,
     "op9_sharding": op9_sharding,
     "op10_bpe": op10_bpe,
@@ -99,5 +130,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_secret_scan": _op1_sql(),
+    "op4_vp_search": OP4_SQL,
     "op8_ngram_join": OP8_SQL,
 }
