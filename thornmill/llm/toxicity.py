@@ -2,13 +2,13 @@
 
 A window of text is compressed with each dictionary; it is the more toxic the fewer bytes the toxic one
 needs by comparison. Compressed bytes are too coarse for a window of a few letters, so a
-window is first spelled out: each four letters of it (its ends marked by blanks) become
+window is first spelled out: each four letters of it (its ends marked by blanks) and each of its beginnings become
 eight fixed bytes, which cost eight bytes where a dictionary lacks them and one or two where it has them. The
 dictionaries are trained on what labelled documents hold in these units: the ordinary one on the
 units found in most ordinary documents, the toxic one on those that toxic documents have
-significantly more often (log-likelihood ratio), so that what both kinds share tells nothing.
+significantly more often (log-likelihood ratio), besides those of ordinary text, which toxic text has as well.
 
-A document's raw score adds up its two most toxic windows, a word each (long words several),
+A document's raw score adds up its TOP most toxic windows, a word each (long words several),
 over the whole text. Isotonic regression on labelled rows that the dictionaries haven't seen turns it into a
 probability.
 
@@ -38,8 +38,8 @@ from .common import cut, pieces
 from .quality_model import fold, isotonic, training_labels
 
 SAMPLE = 20_000
-#: Letters of a unit and of a window, units of each dictionary, least log-likelihood ratio of a toxic unit, most that a window adds.
-UNIT, WINDOW, TOXIC_UNITS, ORDINARY_UNITS, LEAST_RATIO, MOST = 4, 40, 4_096, 16_384, 30.0, 10
+#: Letters of a unit, of the longest beginning and of a window, units of each dictionary, least log-likelihood ratio of a toxic unit and times that its share of toxic documents must exceed that of ordinary ones, most that a window adds, windows that count.
+UNIT, LONGEST, WINDOW, TOXIC_UNITS, ORDINARY_UNITS, LEAST_RATIO, LEAST_SHARE, MOST, TOP = 4, 8, 40, 4_096, 16_384, 30.0, 10, 10, 3
 WORDS = 400_000
 
 
@@ -53,8 +53,9 @@ def windows(text: str | None) -> set[str]:
 
 
 def units(window: str) -> list[str]:
+    """Each four letters, and the beginnings of three to eight letters (marked), since words of one meaning often share their beginning alone."""
     padded = f" {window} "
-    return [padded[k : k + UNIT] for k in range(max(1, len(padded) - UNIT + 1))]
+    return [padded[k : k + UNIT] for k in range(max(1, len(padded) - UNIT + 1))] + ["^" + window[:k] for k in range(3, min(LONGEST, len(window)) + 1)]
 
 
 class Speller(dict):
@@ -80,7 +81,7 @@ class Distance(dict):
 
     def __init__(self, toxic: list[str], ordinary: list[str]) -> None:
         self.spell = Speller()
-        self.toxic, self.ordinary = _compressor(toxic, self.spell), _compressor(ordinary, self.spell)
+        self.toxic, self.ordinary = _compressor(ordinary + toxic, self.spell), _compressor(ordinary, self.spell)
 
     def __missing__(self, window: str) -> int:
         if len(self) >= WORDS:
@@ -90,7 +91,7 @@ class Distance(dict):
         return found
 
     def raw(self, text: str | None) -> int:
-        return sum(max(0, min(MOST, d)) for d in nlargest(2, [self[w] for w in windows(text)]))
+        return sum(max(0, min(MOST, d)) for d in nlargest(TOP, [self[w] for w in windows(text)]))
 
 
 def _unit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,16 +130,17 @@ def dictionaries(train: DataFrame) -> tuple[list[str], list[str]]:
     counts = cut(train.select("text", "y").mapInArrow(_unit_counts, "unit string, toxic long, ordinary long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
     share = F.expr(f"(toxic + ordinary) / {ones + zeros}D")
     ratio = 2 * (F.col("toxic") * F.log(F.col("toxic") / (ones * share)) + F.when(F.col("ordinary") > 0, F.col("ordinary") * F.log(F.col("ordinary") / (zeros * share))).otherwise(0.0))
-    toxic = counts.where(f"toxic > 0 AND toxic / {ones}D > 2 * ordinary / {zeros}D").withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "unit").limit(TOXIC_UNITS)
-    ordinary = counts.where("ordinary > 0").orderBy(F.desc("ordinary"), "unit").limit(ORDINARY_UNITS)
+    counts = counts.withColumn("ratio", F.when(F.expr(f"toxic > 0 AND toxic / {ones}D > {LEAST_SHARE} * ordinary / {zeros}D"), ratio).otherwise(0.0))
+    toxic = counts.where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "unit").limit(TOXIC_UNITS)
+    ordinary = counts.where((F.col("ordinary") > 0) & (F.col("ratio") < LEAST_RATIO)).orderBy(F.desc("ordinary"), "unit").limit(ORDINARY_UNITS)
     return [r.unit for r in toxic.collect()][::-1], [r.unit for r in ordinary.collect()][::-1]
 
 
 def levels(counts: dict[int, int], ones: dict[int, float], share: float) -> list[float]:
-    """Probability of each raw score from 0 to 2 * MOST: isotonic over those that were seen, the nearest lower one between."""
+    """Probability of each raw score from 0 to TOP * MOST: isotonic over those that were seen, the nearest lower one between."""
     seen = sorted(counts)
     fitted = isotonic(np.array([(ones[k] + share) / (counts[k] + 1) for k in seen]), np.array([counts[k] + 1.0 for k in seen]))
-    at = np.searchsorted(seen, np.arange(2 * MOST + 1), "right") - 1
+    at = np.searchsorted(seen, np.arange(TOP * MOST + 1), "right") - 1
     return [float(fitted[max(0, k)]) for k in at]
 
 
@@ -157,7 +159,7 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", threshol
     else:
         binned = train.where("fold = 4").select(F.col("y"), "text").mapInArrow(_raw(toxic, ordinary), "key double, raw int").groupBy("raw").agg(F.count("*").alias("n"), F.sum("key").alias("ones")).collect()
         share = sum(r.ones for r in binned) / max(1, sum(r.n for r in binned))
-        of = levels({r.raw: r.n for r in binned}, {r.raw: r.ones for r in binned}, share) if binned else [k / (2.0 * MOST) for k in range(2 * MOST + 1)]
+        of = levels({r.raw: r.n for r in binned}, {r.raw: r.ones for r in binned}, share) if binned else [k / (2.0 * MOST) for k in range(TOP * MOST + 1)]
         kind = docs.schema[id_col].dataType.simpleString()
         raw = rows.mapInArrow(_raw(toxic, ordinary), f"key {kind}, raw int")
         scored = raw.select(F.col("key").alias("doc_id"), F.element_at(F.array(*(F.lit(x) for x in of)), F.col("raw") + 1).alias("score"))
