@@ -3,15 +3,16 @@
 Sets are arrays of sorted 64-bit shingle hashes. The join loses no link:
 
 1. Equal sets share a digest (``sid``) and are one node from there on.
-2. Candidates. Sets are banded by size. If two sets link, they differ in at most d
-   elements, where d follows from the smaller one's band; so if hash space is cut into
-   d + 1 ranges, the two agree in one range at least. Each set gives one key for each range
-   of its own band, and, where a partner may lie in the band below, of that band too. Keys
-   are made of about eight shingles, so that passages which many documents share don't
-   bring these together. Sets with the same key are tied to the key's first one; what is
-   connected by such ties is a cluster, and every link lies within a cluster.
+2. Candidates. Two sets that link overlap so much that they share an element of their prefixes:
+   the first n - ceil(n * percent / 100) + 1 elements in any order that holds for all sets.
+   Here rare shingles come first, as a table of SLOTS counters over all documents
+   tells, so that passages which many documents share don't bring these together (the
+   order decides how much work there is, never the result). Sets with a common prefix element are
+   tied to the element's first one; what ties connect is a cluster, and every link lies
+   within a cluster.
 3. Verification. The sets of clusters travel once, in tiles: clusters of more than TILE
-   sets are cut into pairs of tiles. Within a tile sets are ordered by size; hashed bitmap
+   sets are cut into tiles by bands of sizes (sets of bands that aren't neighbours can't link) and by a
+   hash, and pairs of tiles are compared. Within them sets are ordered by size; hashed bitmap
    signatures bound the overlap from above (an element whose bit the other set lacks isn't
    in it), and what passes is intersected exactly. Pairs that are already connected are
    not compared again, so a group of thousands of near copies takes about as many exact
@@ -32,16 +33,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, pieces
 from .graph import components
 
-TILE = 1_000
+TILE = 500
 #: Rows of a table that may be broadcast (about 16 bytes each).
 BROADCAST_ROWS = 500_000
 FILTER_BITS = 1 << 24
+#: Counters of the rarity table, the pieces in which it travels, and how many tasks' tables are added at a time.
+SLOT_BITS, CHUNKS, PARTS = 20, 64, 64
 SEEN = 200_000
 _U = np.uint64
 
@@ -71,51 +75,53 @@ def set_id(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-class Bands:
-    """Bands of set sizes and, for each, the number of hash ranges of which two linked sets share one."""
+def prefix(hashes: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
+    """Prefix elements: keys of which two sets that link share at least one."""
+    size = len(hashes) - -(-len(hashes) * percent // 100) + 1
+    ordered = levels[(hashes >> _U(64 - SLOT_BITS)).astype(np.int64)].astype(_U) << _U(56) | hashes >> _U(8)
+    return np.partition(ordered, size - 1)[:size]
 
-    def __init__(self, percent: int, ratio: float = 1.25) -> None:
-        self.percent, self.ratio, self.starts = percent, ratio, [1]
 
-    def of(self, size: int) -> int:
-        """The band's number; they are made as far as they're asked for."""
-        while self.starts[-1] <= size:
-            last = self.starts[-1]
-            self.starts.append(max(last + 1, int(last * self.ratio), -(-last * 100 // self.percent)))
-        return int(np.searchsorted(self.starts, size, "right")) - 1
+def _count_slots(width: int):
+    """(chunk, part, packed): how many of this task's distinct sets have an element in each slot."""
 
-    def ranges(self, band: int) -> int:
-        """One more than the most elements in which a set of this band and a larger one that it links with differ: (100 - percent) / percent of the smaller."""
-        self.of(self.starts[band] if band < len(self.starts) else 1)
-        return (self.starts[band + 1] - 1) * (100 - self.percent) // self.percent + 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen = np.zeros(1 << SLOT_BITS, np.int64), set()
+        for batch in pieces(batches, most=4 << 20):
+            for text in batch.column(0).to_pylist():
+                h = shingles(text, width)
+                if (sid := set_id(h)) not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(sid)
+                    np.add.at(counts, (h >> _U(64 - SLOT_BITS)).astype(np.int64), 1)
+        chunks = counts.reshape(CHUNKS, -1)
+        part = TaskContext.get().partitionId() // PARTS
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([part] * CHUNKS, pa.int32()), pa.array([c.tobytes() for c in chunks], pa.binary())], ["chunk", "part", "packed"])
 
-    def roles(self, size: int) -> list[int]:
-        """The set's own band, and the one below if a smaller partner may lie there."""
-        own = self.of(size)
-        return [own] + ([own - 1] if own and -(-size * self.percent // 100) < self.starts[own] else [])
+    return run
 
 
-def keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
-    """Keys of which two sets that link, but aren't equal, share at least one."""
-    found = []
-    scrambled = None
-    for band in bands.roles(len(hashes)):
-        parts = bands.ranges(band)
-        if parts == 1:  # only equal sets link
-            continue
-        if scrambled is None:
-            scrambled = np.concatenate([np.zeros(1, _U), np.cumsum(_mix(hashes), dtype=_U)])
-        part = (hashes >> _U(32)) * _U(parts) >> _U(32)  # in the order of the hashes
-        at = np.searchsorted(part, np.arange(parts + 1, dtype=_U))
-        found.append(_mix(_mix(scrambled[at[1:]] - scrambled[at[:-1]]) + _U(band << 32) + np.arange(parts, dtype=_U)))
-    return np.concatenate(found) if found else np.empty(0, _U)
+def _added(table: pa.Table) -> pa.Table:
+    total = np.sum([np.frombuffer(x, np.int64) for x in table.column("packed").to_pylist()], axis=0)
+    return pa.table({"chunk": table.column("chunk")[:1], "part": table.column("part")[:1], "packed": pa.array([total.tobytes()], pa.binary())})
+
 
+def rarity(texts: DataFrame, width: int) -> np.ndarray:
+    """A level for each slot, higher for slots whose shingles are in more sets; its size doesn't depend on the data."""
+    schema = "chunk int, part int, packed binary"
+    parts = texts.mapInArrow(_count_slots(width), schema).groupBy("chunk", "part").applyInArrow(_added, schema)
+    counts = np.zeros((CHUNKS, (1 << SLOT_BITS) // CHUNKS), np.int64)
+    for r in parts.groupBy("chunk").applyInArrow(_added, schema).collect():
+        counts[r.chunk] = np.frombuffer(r.packed, np.int64)
+    return np.minimum(255, np.round(8 * np.log2(1.0 + counts.ravel()))).astype(np.uint8)
 
-def _sketch(width: int, percent: int):
+
+def _sketch(width: int, percent: int, levels):
     """(doc_id, row, n, sid, keys): keys only where this task hasn't lately met the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen = Bands(percent), set()
+        rank, seen = levels.value, set()
         for batch in pieces(batches, most=4 << 20):
             sizes, sids, lists = [], [], []
             for text in batch.column(2).to_pylist():
@@ -128,7 +134,7 @@ def _sketch(width: int, percent: int):
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(sid)
-                lists.append(keys(h, bands).view(np.int64))
+                lists.append(prefix(h, rank, percent).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))], ["doc_id", "row", "n", "sid", "keys"])
@@ -237,7 +243,7 @@ def _verify(percent: int):
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in pieces(batches, "set"):
-            for *key, sid, raw in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for *key, sid, raw in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 if key != tile:
                     if tile is not None:
                         yield close()
@@ -255,25 +261,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    sketch = cut(texts.mapInArrow(_sketch(width, percent), "doc_id long, row long, n long, sid long, keys array<long>"))
+    levels = spark.sparkContext.broadcast(rarity(texts.select("text"), width))
+    sketch = cut(texts.mapInArrow(_sketch(width, percent, levels), "doc_id long, row long, n long, sid long, keys array<long>"))
     light = sketch.select("doc_id", "row", "n", "sid")
 
     rows = sketch.select(F.explode("keys").alias("key"), "sid")
     ties = rows.repartition(n, "key").sortWithinPartitions("key", "sid").mapInArrow(_ties, "a long, b long")
     members = components(ties).select(F.col("node").alias("sid"), F.col("root").alias("cluster"))
-
-    tiles = members.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    members = cut(members.join(tiles, "cluster").withColumn("tile", F.expr("cast(pmod(xxhash64(sid), tiles) as int)")))
+    sizes = light.where("n > 0").groupBy("sid").agg(F.max("n").alias("n"))
+    band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")  # sets of a size ratio that may link are at most one apart
+    members = cut(members.join(sizes, "sid").withColumn("band", band))
+    tiles = members.groupBy("cluster", "band").agg(F.count("*").alias("rows"))
+    tiles = tiles.groupBy("cluster").agg(F.sum("rows").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("rows") / TILE).cast("int").alias("tiles")))).alias("of"))
+    tile = F.expr("cast(pmod(xxhash64(sid), element_at(of, band)) as int)")
+    # (band, tile, band of the other, tile of the other); a small cluster is one tile
+    pairs = F.expr(f"""
+        if(all <= {TILE}, array(struct(0 as b, 0 as i, 0 as c, 0 as j)), concat(
+          transform(sequence(0, element_at(of, band) - 1), x -> struct(band as b, least(x, tile) as i, band as c, greatest(x, tile) as j)),
+          if(map_contains_key(of, band + 1), transform(sequence(0, element_at(of, band + 1) - 1), x -> struct(band as b, tile as i, band + 1 as c, x as j)), array()),
+          if(map_contains_key(of, band - 1), transform(sequence(0, element_at(of, band - 1) - 1), x -> struct(band - 1 as b, x as i, band as c, tile as j)), array())))""")
+    members = cut(members.join(tiles, "cluster").withColumn("tile", tile).select("sid", "cluster", pairs.alias("pairs")))
     bitmap = spark.sparkContext.broadcast(_membership(members))
     sets = texts.select("text").mapInArrow(_member_sets(width, bitmap), "sid long, set binary")
     few = members.count() <= BROADCAST_ROWS
-    tiled = sets.join(F.broadcast(members) if few else members, "sid").select(
-        "cluster",
-        F.explode(F.expr("if(tiles = 1, array(struct(0 as i, 0 as j)), transform(filter(sequence(0, tiles - 1), x -> x <> tile), x -> struct(least(x, tile) as i, greatest(x, tile) as j)))")).alias("pair"),
-        "sid",
-        "set",
-    )
-    links = tiled.select("cluster", "pair.i", "pair.j", "sid", "set").repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "sid").mapInArrow(_verify(percent), "a long, b long")
+    tiled = sets.join(F.broadcast(members) if few else members, "sid").select("cluster", F.explode("pairs").alias("pair"), "sid", "set")
+    keys = ["cluster", "pair.b", "pair.i", "pair.c", "pair.j"]
+    links = tiled.select(*keys, "sid", "set").repartition(n, *(k.split(".")[-1] for k in keys)).sortWithinPartitions(*(k.split(".")[-1] for k in keys), "sid").mapInArrow(_verify(percent), "a long, b long")
     roots = components(links)
 
     own = light.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first"))
