@@ -6,14 +6,15 @@ Sets are arrays of sorted 64-bit shingle hashes. The join loses no link:
 2. Candidates. Two sets that link overlap so much that they share an element of their prefixes:
    the first n - ceil(n * percent / 100) + 1 elements in any order that holds for all sets.
    Here rare shingles come first, as a table of SLOTS counters over all documents
-   tells, so that passages which many documents share don't bring these together (the
-   order decides how much work there is, never the result). Sets with a common prefix element are
-   tied to the element's first one; what ties connect is a cluster, and every link lies
-   within a cluster.
+   tells (the order decides how much work there is, never the result). Sets with a common
+   prefix element form a group; equal groups are kept once. Within a group, sets are tied
+   unless their sizes or their hashed bitmaps rule a link out: a bit is the parity of the elements
+   that hash to it, so bits that differ can't be more than elements that differ. What ties
+   connect is a cluster, and every link lies within a cluster.
 3. Verification. The sets of clusters travel once, in tiles: clusters of more than TILE
    sets are cut into tiles by bands of sizes (sets of bands that aren't neighbours can't link) and by a
-   hash, and pairs of tiles are compared. Within them sets are ordered by size; hashed bitmap
-   signatures bound the overlap from above (an element whose bit the other set lacks isn't
+   hash, and pairs of tiles are compared. Within them sets are ordered by size; larger bitmaps
+   bound the overlap from above (an element whose bit the other set lacks isn't
    in it), and what passes is intersected exactly. Pairs that are already connected are
    not compared again, so a group of thousands of near copies takes about as many exact
    comparisons as it has members.
@@ -46,6 +47,8 @@ BROADCAST_ROWS = 500_000
 FILTER_BITS = 1 << 24
 #: Counters of the rarity table, the pieces in which it travels, and how many tasks' tables are added at a time.
 SLOT_BITS, CHUNKS, PARTS = 20, 64, 64
+#: Bits of the signatures that travel with groups, and members of a group that meet in one task.
+SIGNATURE, GROUP = 512, 4_096
 SEEN = 200_000
 _U = np.uint64
 
@@ -82,6 +85,12 @@ def prefix(hashes: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
     return np.partition(ordered, size - 1)[:size]
 
 
+def signature(hashes: np.ndarray) -> bytes:
+    """Parities of the elements that hash to each of SIGNATURE bits."""
+    h = _mix(hashes)
+    return np.packbits(np.bincount((h >> _U(64 - SIGNATURE.bit_length() + 1)).astype(np.int64), minlength=SIGNATURE).astype(np.uint8) & 1).tobytes()
+
+
 def _count_slots(width: int):
     """(chunk, part, packed): how many of this task's distinct sets have an element in each slot."""
 
@@ -118,45 +127,125 @@ def rarity(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def _sketch(width: int, percent: int, levels):
-    """(doc_id, row, n, sid, keys): keys only where this task hasn't lately met the set."""
+    """(doc_id, row, n, sid, keys, sig): keys and signature only where this task hasn't lately met the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, seen = levels.value, set()
         for batch in pieces(batches, most=4 << 20):
-            sizes, sids, lists = [], [], []
+            sizes, sids, lists, sigs = [], [], [], []
             for text in batch.column(2).to_pylist():
                 h = shingles(text, width)
                 sizes.append(len(h))
                 sids.append(sid := set_id(h))
                 if sid in seen or not len(h):
                     lists.append(np.empty(0, np.int64))
+                    sigs.append(None)
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(sid)
                 lists.append(prefix(h, rank, percent).view(np.int64))
+                sigs.append(signature(h))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))], ["doc_id", "row", "n", "sid", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "row", "n", "sid", "keys", "sig"])
 
     return run
 
 
-def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come ordered by key and sid: (first sid of the key, sid) for each further one."""
-    last_key = pivot = None
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come ordered by key and sid: (group, i, j, sid) of the sets of each key that has two or more.
+
+    The group's name is a digest of its members, so that keys with the same members, as near copies
+    have by the hundred, are one group. Of a group, 8 bytes for each member are held; large ones are
+    dealt out as pairs (i, j) of parts.
+    """
+    last, held, seen = None, [], set()
+
+    def close(members: np.ndarray, out: list) -> None:
+        name = int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
+        if name in seen:
+            return
+        if len(seen) >= SEEN:
+            seen.clear()
+        seen.add(name)
+        parts = -(-len(members) // GROUP)
+        part = np.arange(len(members)) % parts
+        for i, j in [(0, 0)] if parts == 1 else [(i, j) for i in range(parts) for j in range(i + 1, parts)]:
+            some = members[(part == i) | (part == j)]
+            out.append(np.stack([np.full(len(some), name), np.full(len(some), i), np.full(len(some), j), some], 1))
+
+    def batch_of(out: list) -> pa.RecordBatch:
+        rows = np.concatenate(out) if out else np.empty((0, 4), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, k], pa.int64()) for k in range(4)], ["g", "i", "j", "sid"])
+
     for batch in batches:
         if not batch.num_rows:
             continue
         key, sid = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        new = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
-        group = np.cumsum(new) - 1
-        firsts = sid[new]
-        first = np.where(group < 0, pivot if pivot is not None else 0, firsts[np.maximum(group, 0)] if len(firsts) else 0)
-        last_key, pivot = key[-1], first[-1]
-        differ = first != sid
-        pairs = np.unique(np.stack([first[differ], sid[differ]], 1), axis=0) if differ.any() else np.empty((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        ends = np.concatenate([starts[1:], [len(key)]])
+        out: list = []
+        if key[0] != last and held:  # the key that the last batch ended with is complete
+            if len(members := np.unique(np.concatenate(held))) > 1:
+                close(members, out)
+            held = []
+        last = key[-1]
+        some = (ends - starts > 1) | (starts == 0) | (ends == len(key))  # keys with one row in the midst of a batch have one set
+        for first, end in zip(starts[some], ends[some], strict=True):
+            whole = [*held, sid[first:end]] if first == 0 else [sid[first:end]]
+            if end == len(key):
+                held = whole
+            elif len(members := np.unique(np.concatenate(whole))) > 1:
+                close(members, out)
+            if first == 0 and end < len(key):
+                held = []
+        yield batch_of(out)
+    out = []
+    if held and len(members := np.unique(np.concatenate(held))) > 1:
+        close(members, out)
+    yield batch_of(out)
+
+
+def _ties(percent: int):
+    """Rows come ordered by group: ties (a forest of them) between the sets of a group that signatures and sizes don't tell apart."""
+
+    def tied(sids: list[int], sizes: list[int], sigs: list[bytes]) -> list[tuple[int, int]]:
+        n, of = np.array(sizes), np.frombuffer(b"".join(sigs), _U).reshape(len(sigs), -1)
+        label, found = np.arange(len(n)), []
+        for k in range(1, len(n)):
+            near = np.flatnonzero(label[:k] != label[k])
+            least = -(-percent * (n[near] + n[k]) // (100 + percent))
+            spare = n[near] + n[k] - 2 * least  # elements that may differ
+            near = near[(np.minimum(n[near], n[k]) >= least) & (np.bitwise_count(of[near] ^ of[k]).sum(1) <= spare)]
+            for j in near:
+                if label[j] != label[k]:
+                    found.append((sids[j], sids[k]))
+                    label[label == label[j]] = label[k]
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, ([], [], [])
+
+        def close():
+            found = tied(*held) if len(held[0]) > 1 else []
+            for h in held:
+                h.clear()
+            return found
+
+        for batch in batches:
+            out = []
+            for *name, sid, n, sig in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if name != group:
+                    out += close()
+                    group = name
+                for h, v in zip(held, (sid, n, sig), strict=True):
+                    h.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+        out = close()
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
 
 
 def _membership(members: DataFrame) -> np.ndarray:
@@ -262,11 +351,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     levels = spark.sparkContext.broadcast(rarity(texts.select("text"), width))
-    sketch = cut(texts.mapInArrow(_sketch(width, percent, levels), "doc_id long, row long, n long, sid long, keys array<long>"))
+    sketch = cut(texts.mapInArrow(_sketch(width, percent, levels), "doc_id long, row long, n long, sid long, keys array<long>, sig binary"))
     light = sketch.select("doc_id", "row", "n", "sid")
 
     rows = sketch.select(F.explode("keys").alias("key"), "sid")
-    ties = rows.repartition(n, "key").sortWithinPartitions("key", "sid").mapInArrow(_ties, "a long, b long")
+    groups = rows.repartition(n, "key").sortWithinPartitions("key", "sid").mapInArrow(_groups, "g long, i long, j long, sid long").distinct()
+    known = sketch.where("sig IS NOT NULL").select(F.col("sid").alias("own"), "n", "sig").dropDuplicates(["own"])
+    signed = groups.join(known, F.col("sid") == F.col("own")).select("g", "i", "j", "sid", "n", "sig")
+    ties = signed.repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_ties(percent), "a long, b long")
     members = components(ties).select(F.col("node").alias("sid"), F.col("root").alias("cluster"))
     sizes = light.where("n > 0").groupBy("sid").agg(F.max("n").alias("n"))
     band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")  # sets of a size ratio that may link are at most one apart
