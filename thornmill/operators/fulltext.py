@@ -165,6 +165,11 @@ def _at(array: Column, term: Term) -> Column:
     return F.filter(span, holds)
 
 
+def _close(left: Column, right: Column, distance: int) -> Column:
+    """Is some position of one at most ``distance`` from one of the other?"""
+    return F.exists(left, lambda a: F.exists(right, lambda b: F.abs(a - b) <= distance))
+
+
 def condition(expression, arrays: dict[str, Column]) -> Column:
     """Whether the token arrays (by column name) satisfy a parsed expression."""
     if isinstance(expression, Both):
@@ -176,7 +181,7 @@ def condition(expression, arrays: dict[str, Column]) -> Column:
             first, *rest = expression.terms
             near = F.lit(True)
             for other in rest:
-                near = near & F.exists(_at(array, first), lambda a, o=_at(array, other): F.exists(o, lambda b, a=a: F.abs(a - b) <= expression.distance + 1))
+                near = near & _close(_at(array, first), _at(array, other), expression.distance + 1)
             test = test | (near & (F.size(_at(array, first)) > 0))
         return test
     chosen = {c: a for c, a in arrays.items() if expression.column in (None, c)}

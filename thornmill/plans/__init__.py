@@ -5,33 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from .base import Family
+from .changes import F5
+from .relational import F1
+from .scalar import F3
+from .search import F4
+from .windows import F2
 
-def _pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return (
-        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-        .where("l_shipdate <= timestamp_ntz '1998-09-02 00:00:00'")
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(
-            F.round(F.sum("l_quantity"), 2).alias("sum_qty"),
-            F.round(F.sum(price), 2).alias("sum_disc_price"),
-            F.round(F.avg("l_discount"), 6).alias("avg_disc"),
-            F.count("*").alias("count_order"),
-        )
-    )
+_MAIN = Family()
+_MAIN.same(
+    "agg_pricing_summary",
+    """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
+    round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(avg(l_quantity), 6) AS avg_qty, round(avg(l_discount), 6) AS avg_disc, CAST(count(*) AS BIGINT) AS count_order
+    FROM {lineitem} WHERE l_shipdate <= CAST('1998-09-02' AS TIMESTAMP) GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus""",
+)
+_FAMILIES = (_MAIN, F1, F2, F3, F4, F5)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"agg_pricing_summary": _pricing_summary}
+    return {k: v for f in _FAMILIES for k, v in f.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "agg_pricing_summary": """
-            SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty,
-                   round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price,
-                   round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
-            FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL"""
-    }
+    return {k: v for f in _FAMILIES for k, v in f.oracles.items()}

@@ -15,7 +15,7 @@ F2.same("win_lag_lead", f"SELECT o_orderkey, lag(o_totalprice, 1, 0.0) OVER (PAR
 F2.same("win_first_last_nth", f"SELECT o_orderkey, first_value(o_orderkey) OVER w AS f, last_value(o_orderkey) OVER w AS l, nth_value(o_orderkey, 2) OVER w AS n {_O} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 F2.same("win_percent_cume", f"SELECT o_orderkey, round(percent_rank() OVER w, 9) AS p, round(cume_dist() OVER w, 9) AS c {_O} WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_custkey)")
 F2.same("win_running_sum_range", "SELECT l_orderkey, l_linenumber, round(sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey), 2) AS q FROM {lineitem}")
-F2.same("win_rows_frame", "SELECT l_orderkey, l_linenumber, round(avg(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS q FROM {lineitem}")
+F2.same("win_rows_frame", f"SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 4) AS q {_O}")
 F2.same("win_range_frame", f"SELECT o_orderkey, CAST(count(*) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) AS BIGINT) AS n {_O}")
 F2.same("win_whole_partition", f"SELECT o_orderkey, round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 9) AS share, max(o_totalprice) OVER (PARTITION BY o_custkey) AS most {_O}")
 F2.same("win_named", f"SELECT o_orderkey, CAST(count(*) OVER w AS BIGINT) AS n, min(o_totalprice) OVER w AS m {_O} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
