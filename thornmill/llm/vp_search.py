@@ -26,20 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD, LEAF, BLOCK = 20_000, 64, 1_024
-
-
-def distances(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(queries), len(vectors)))
-    for k in range(queries.shape[1]):
-        gap = queries[:, k, None] - vectors[None, :, k]
-        total += gap * gap
-    return np.sqrt(total)
+SHARD, LEAF, BLOCK = 20_000, 256, 1_024
 
 
 class Tree:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF) -> None:
-        self.ids, self.vectors, self.leaf = ids, vectors, leaf
+        self.ids, self.vectors, self.leaf, self.sizes = ids, vectors, leaf, (vectors * vectors).sum(1)
         self.root = self._build(np.arange(len(ids)), np.random.default_rng(len(ids)))
 
     def _build(self, rows: np.ndarray, rng) -> tuple | np.ndarray:
@@ -47,7 +39,7 @@ class Tree:
             return rows
         at = int(rng.integers(len(rows)))
         point, rest = rows[at], np.delete(rows, at)
-        d = distances(self.vectors[[point]], self.vectors[rest])[0]
+        d = np.sqrt(((self.vectors[rest] - self.vectors[point]) ** 2).sum(1))
         order = np.argsort(d, kind="stable")
         rest, d, half = rest[order], d[order], len(rest) // 2  # halves by rank: equal distances don't unbalance them
         return point, [(d[0], d[half - 1], self._build(rest[:half], rng)), (d[half], d[-1], self._build(rest[half:], rng))]
@@ -55,30 +47,50 @@ class Tree:
     def search(self, ids: np.ndarray, vectors: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
         """(distances, ids) of the k nearest of each query, nearest first; infinity and -1 where there are fewer."""
         self.k, self.factor = k, factor
-        self.asked, self.of = vectors, ids
+        self.asked, self.of, self.asked_size = vectors, ids, (vectors * vectors).sum(1)
         self.near, self.found = np.full((len(ids), k), np.inf), np.full((len(ids), k), -1, np.int64)
         self._visit(self.root, np.arange(len(ids)))
         return self.near, self.found
 
-    def _offer(self, active: np.ndarray, d: np.ndarray, rows: np.ndarray) -> None:
-        ids = np.broadcast_to(self.ids[rows], d.shape)
-        d = np.where(ids == self.of[active, None], np.inf, d)
-        d, ids = np.concatenate([self.near[active], d], 1), np.concatenate([self.found[active], ids], 1)
-        ids = np.where(np.isinf(d), -1, ids)
-        order = np.lexsort((ids, d), axis=1)[:, : self.k]
-        self.near[active], self.found[active] = np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
+    def _squares(self, active: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances by one product of matrices, and how far rounding may have moved them."""
+        sizes = self.asked_size[active, None] + self.sizes[rows]
+        return sizes - 2 * (self.asked[active] @ self.vectors[rows].T), 1e-9 * sizes
+
+    def _offer(self, active: np.ndarray, squares: np.ndarray, slack: np.ndarray, rows: np.ndarray) -> None:
+        """Put those of ``rows`` among the nearest that belong there; only what may belong is summed up exactly."""
+        limit = self.near[active, -1] ** 2
+        squares = np.where(self.ids[rows] == self.of[active, None], np.inf, squares)
+        if squares.shape[1] > self.k and (fresh := np.flatnonzero(np.isinf(limit))).size:
+            limit[fresh] = np.partition(squares[fresh], self.k - 1, axis=1)[:, self.k - 1] + 2 * slack[fresh].max(1)
+        which, column = np.nonzero((squares <= limit[:, None] * (1 + 1e-9) + slack) & np.isfinite(squares))
+        if not len(which):
+            return
+        total = np.zeros(len(which))
+        some, others = self.asked[active[which]], self.vectors[rows[column]]
+        for d in range(some.shape[1]):
+            gap = some[:, d] - others[:, d]
+            total += gap * gap
+        exact, ids = np.sqrt(total), self.ids[rows[column]]
+        starts = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+        for first, end in zip(starts, [*starts[1:], len(which)], strict=True):
+            q = active[which[first]]
+            d, v = np.concatenate([self.near[q], exact[first:end]]), np.concatenate([self.found[q], ids[first:end]])
+            order = np.lexsort((v, d))[: self.k]
+            self.near[q], self.found[q] = d[order], v[order]
 
     def _visit(self, node, active: np.ndarray) -> None:
         if not len(active):
             return
         if isinstance(node, np.ndarray):
             if len(node):
-                self._offer(active, distances(self.asked[active], self.vectors[node]), node)
+                self._offer(active, *self._squares(active, node), node)
             return
         point, halves = node
-        d = distances(self.asked[active], self.vectors[[point]])
-        self._offer(active, d, np.array([point]))
-        bounds = [np.maximum(np.maximum(d[:, 0] - hi, lo - d[:, 0]), 0.0) for lo, hi, _ in halves]
+        squares, slack = self._squares(active, np.array([point]))
+        self._offer(active, squares, slack, np.array([point]))
+        d, error = np.sqrt(np.maximum(squares[:, 0], 0)), np.sqrt(slack[:, 0])
+        bounds = [np.maximum(np.maximum(d - hi, lo - d) - error, 0.0) for lo, hi, _ in halves]
         inner_first = bounds[0] <= bounds[1]
         for first in (0, 1):
             mine = inner_first if first == 0 else ~inner_first
