@@ -292,7 +292,8 @@ class Engine:
             raise EngineError("MATCH needs a full-text table")
         columns, out, k = [c.name for c in used.columns], [], 0
         view = f"__match_{uuid.uuid4().hex[:8]}"
-        score = tokenize(f"(SELECT max(-m.score) FROM {view} m WHERE m.docid = {used.name}.docid)")
+        ranked = any(t.upper in ("BM25", "RANK") for t in tokens)
+        found = tokenize(f"(SELECT docid, {', '.join(f'`{c}`' for c in columns)}, score AS __score FROM {view}) AS {used.name}")
         while k < len(tokens):
             t = tokens[k]
             if k + 1 < len(tokens) and tokens[k + 1].upper == "MATCH":
@@ -302,10 +303,13 @@ class Engine:
                 out += tokenize(f"{used.name}.docid IN (SELECT docid FROM {view})")
                 k += 3
             elif t.upper == "BM25" and k + 1 < len(tokens) and tokens[k + 1].text == "(":
-                out += score
+                out += tokenize("(-__score)")
                 k += 4
             elif t.upper == "RANK" and not (k + 1 < len(tokens) and tokens[k + 1].text == "("):
-                out += score
+                out += tokenize("(-__score)")
+                k += 1
+            elif ranked and k and tokens[k - 1].upper in ("FROM", "JOIN", ",") and t.text.lower() == used.name.lower():
+                out += found  # the rows that match, with their scores, in place of the table
                 k += 1
             else:
                 out.append(t)
