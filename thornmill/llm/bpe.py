@@ -15,6 +15,8 @@ each; columns other than the id and the text are not read.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import hashlib
 import json
@@ -30,11 +32,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import HELD, pieces
 
 NEVER = 1 << 60
 #: Words and chunks kept with their ids by each Python worker, and pairs with their compatibility.
-WORDS, CHUNKS, PAIRS = 500_000, 300_000, 500_000
+WORDS, CHUNKS, PAIRS = 350_000, 200_000, 350_000
 #: White space as Unicode defines it (the property White_Space).
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 #: How byte-level tokenizers split a text before merging.
@@ -188,9 +190,20 @@ class PrefixBpe:
 
 @lru_cache(maxsize=4)
 def codec(path: str) -> PrefixBpe:
+    HELD["bpe"] = _release
     return PrefixBpe(path)
 
 
+def _release() -> None:
+    """Give the tables' memory back to the system; a no-op where there are none."""
+    if codec.cache_info().currsize:
+        codec.cache_clear()
+        gc.unfreeze()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library can
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (array<int>, if asked for), ids_sha256, decoded_sha256 of each row. No shuffle: each row for itself."""
     kind = docs.schema[id_col].dataType
@@ -199,7 +212,7 @@ def encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", ids: bool = Tr
         model = codec(resolve(tokenizer))
         gc.freeze()  # the tables stay; collecting over them again and again takes a fifth of the time
         gc.set_threshold(200_000, 20, 100)
-        for batch in pieces(batches):
+        for batch in pieces(batches, operator="bpe"):
             counts, lists, coded, decoded = [], [], [], []
             for text in batch.column(1).to_pylist():
                 ns, parts, raw = zip(*found) if (found := model.records(text or "")) else ((), (), ())

@@ -6,7 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -53,8 +53,20 @@ def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+#: What operators keep from task to task in a Python worker, and how to let go of it.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def enter(operator: str) -> None:
+    """A worker serves one operator after another: what the others keep goes."""
+    for name, drop in HELD.items():
+        if name != operator:
+            drop()
+
+
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8 << 20, operator: str = "") -> Iterator[pa.RecordBatch]:
     """The same rows in slices whose texts hold about ``most`` bytes, so that long texts don't add up in memory."""
+    enter(operator)
     for batch in batches:
         rows = batch.num_rows
         size = max(1, batch.column(batch.schema.get_field_index(text)).nbytes) if rows else 1

@@ -11,13 +11,12 @@ Sets are arrays of sorted 64-bit shingle hashes. The join loses no link:
    unless their sizes or their hashed bitmaps rule a link out: a bit is the parity of the elements
    that hash to it, so bits that differ can't be more than elements that differ. What ties
    connect is a cluster, and every link lies within a cluster.
-3. Verification. The sets of clusters travel once, in tiles: clusters of more than TILE
-   sets are cut into tiles by bands of sizes (sets of bands that aren't neighbours can't link) and by a
-   hash, and pairs of tiles are compared. Within them sets are ordered by size; larger bitmaps
-   bound the overlap from above (an element whose bit the other set lacks isn't
-   in it), and what passes is intersected exactly. Pairs that are already connected are
-   not compared again, so a group of thousands of near copies takes about as many exact
-   comparisons as it has members.
+3. Verification. The sets of clusters travel in tiles of about TILE sets of one cluster. Within a
+   tile sets are ordered by size and only bands of sizes that may link meet; larger bitmaps
+   bound the overlap from above (an element whose bit the other set lacks isn't in it), and
+   what passes is intersected exactly. Pairs that are already connected are not compared again,
+   so a group of thousands of near copies takes about as many exact comparisons as it has
+   members. Clusters of several tiles are then compared across these (see ``_across``).
 
 Defined results: texts that are null or without words have an empty set and link with
 nothing; fewer words than a shingle has give one shingle of all words; equal ids and
@@ -332,7 +331,7 @@ def _verify(percent: int):
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in pieces(batches, "set"):
-            for *key, sid, raw in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            for *key, sid, raw in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if key != tile:
                     if tile is not None:
                         yield close()
@@ -345,6 +344,49 @@ def _verify(percent: int):
     return run
 
 
+def _linked(tiled: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links within each tile. tiled: cluster, i, j (the tile), sid, set."""
+    return tiled.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "sid").mapInArrow(_verify(percent), "a long, b long")
+
+
+def _across(members: DataFrame, sets: DataFrame, links: DataFrame, n: int, percent: int) -> DataFrame:
+    """links, and those between the tiles of large clusters.
+
+    Members that are already connected needn't be compared, which spares a large group of near
+    copies all but one or two comparisons for each: a few members of each part are compared
+    first, to join the parts that tiles have made; then, in each cluster, what isn't in the largest part
+    is compared with everything, the largest part being read once for each TILE of the others.
+    """
+
+    def parts(links: DataFrame) -> DataFrame:
+        roots = components(links).select(F.col("node").alias("sid"), "root")
+        return cut(members.join(roots, "sid", "left").withColumn("part", F.coalesce("root", "sid")).select("cluster", "sid", "part"))
+
+    def several(parted: DataFrame) -> DataFrame:
+        return parted.groupBy("cluster").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("cluster")
+
+    parted = parts(links)
+    a, b = F.struct(F.xxhash64("sid"), "sid"), F.struct(F.xxhash64("sid", F.lit(1)), "sid")
+    some = parted.join(several(parted), "cluster").groupBy("cluster", "part").agg(F.array_distinct(F.array(F.min(a)["sid"], F.max(a)["sid"], F.min(b)["sid"], F.max(b)["sid"])).alias("sids"))
+    some = some.select("cluster", F.explode("sids").alias("sid"))
+    tiles = some.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    some = cut(some.join(tiles, "cluster").select("cluster", F.expr("cast(pmod(xxhash64(sid), tiles) as int)").alias("i"), F.lit(0).alias("j"), "sid"))
+    links = cut(links.unionByName(_linked(some.join(sets, "sid").select("cluster", "i", "j", "sid", "set"), n, percent)))
+
+    parted = parts(links)
+    parted = cut(parted.join(several(parted), "cluster"))
+    if parted.isEmpty():
+        return links
+    counts = parted.groupBy("cluster", "part").agg(F.count("*").alias("rows"))
+    main = counts.groupBy("cluster").agg(F.max(F.struct("rows", "part")).alias("m"), F.sum("rows").alias("all"))
+    main = cut(main.select("cluster", F.col("m.part").alias("main"), F.ceil(F.col("m.rows") / TILE).cast("int").alias("in"), F.ceil((F.col("all") - F.col("m.rows")) / TILE).cast("int").alias("out")))
+    tile = "cast(pmod(xxhash64(sid), if(part = main, in, out)) as int)"
+    pairs = f"""if(part = main, transform(sequence(0, out - 1), x -> struct({tile} as i, -1 - x as j)),
+        concat(transform(sequence(0, in - 1), x -> struct(x as i, -1 - {tile} as j)), transform(sequence(0, out - 1), x -> struct(-1 - least(x, {tile}) as i, -1 - greatest(x, {tile}) as j))))"""
+    spread = cut(parted.join(main, "cluster").select("cluster", "sid", F.explode(F.expr(pairs)).alias("pair")))
+    return links.unionByName(_linked(spread.join(sets, "sid").select("cluster", "pair.i", "pair.j", "sid", "set"), n, percent))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, root (null for empty sets; the same within a component) and row (a hash of id and text) of each row; documents link when 100 * |A and B| >= percent * |A or B|."""
     spark = docs.sparkSession
@@ -360,25 +402,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     signed = groups.join(known, F.col("sid") == F.col("own")).select("g", "i", "j", "sid", "n", "sig")
     ties = signed.repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_ties(percent), "a long, b long")
     members = components(ties).select(F.col("node").alias("sid"), F.col("root").alias("cluster"))
-    sizes = light.where("n > 0").groupBy("sid").agg(F.max("n").alias("n"))
-    band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")  # sets of a size ratio that may link are at most one apart
-    members = cut(members.join(sizes, "sid").withColumn("band", band))
-    tiles = members.groupBy("cluster", "band").agg(F.count("*").alias("rows"))
-    tiles = tiles.groupBy("cluster").agg(F.sum("rows").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("rows") / TILE).cast("int").alias("tiles")))).alias("of"))
-    tile = F.expr("cast(pmod(xxhash64(sid), element_at(of, band)) as int)")
-    # (band, tile, band of the other, tile of the other); a small cluster is one tile
-    pairs = F.expr(f"""
-        if(all <= {TILE}, array(struct(0 as b, 0 as i, 0 as c, 0 as j)), concat(
-          transform(sequence(0, element_at(of, band) - 1), x -> struct(band as b, least(x, tile) as i, band as c, greatest(x, tile) as j)),
-          if(map_contains_key(of, band + 1), transform(sequence(0, element_at(of, band + 1) - 1), x -> struct(band as b, tile as i, band + 1 as c, x as j)), array()),
-          if(map_contains_key(of, band - 1), transform(sequence(0, element_at(of, band - 1) - 1), x -> struct(band - 1 as b, x as i, band as c, tile as j)), array())))""")
-    members = cut(members.join(tiles, "cluster").withColumn("tile", tile).select("sid", "cluster", pairs.alias("pairs")))
+    totals = members.groupBy("cluster").agg(F.count("*").alias("all"))
+    members = cut(members.join(totals, "cluster"))
     bitmap = spark.sparkContext.broadcast(_membership(members))
     sets = texts.select("text").mapInArrow(_member_sets(width, bitmap), "sid long, set binary")
     few = members.count() <= BROADCAST_ROWS
-    tiled = sets.join(F.broadcast(members) if few else members, "sid").select("cluster", F.explode("pairs").alias("pair"), "sid", "set")
-    keys = ["cluster", "pair.b", "pair.i", "pair.c", "pair.j"]
-    links = tiled.select(*keys, "sid", "set").repartition(n, *(k.split(".")[-1] for k in keys)).sortWithinPartitions(*(k.split(".")[-1] for k in keys), "sid").mapInArrow(_verify(percent), "a long, b long")
+    stored = cut(sets.join(F.broadcast(members) if few else members, "sid").select("cluster", "all", "sid", "set"))
+    links = cut(_linked(stored.select("cluster", F.expr(f"cast(pmod(xxhash64(sid), ceil(all / {TILE})) as int)").alias("i"), F.lit(0).alias("j"), "sid", "set"), n, percent))
+    if not (large := members.where(F.col("all") > TILE)).isEmpty():
+        links = _across(large.select("cluster", "sid"), stored.where(F.col("all") > TILE).select("sid", "set"), links, n, percent)
     roots = components(links)
 
     own = light.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first"))
