@@ -23,8 +23,7 @@ def tokens(column: Column | str, tokenizer: str = "unicode61") -> Column:
     if tokenizer == "ascii":
         return F.regexp_extract_all(text, F.lit("[a-z0-9_]+"), F.lit(0))
     if tokenizer == "trigram":
-        size = F.length(text)
-        return F.when(size >= 3, F.transform(F.sequence(F.lit(1), size - 2), lambda k: F.substring(text, k, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+        return F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1))  # overlapping, in one pass
     raise ValueError(f"no such tokenizer: {tokenizer}")
 
 
@@ -151,18 +150,21 @@ def parse(query: str):
 
 
 def _at(array: Column, term: Term) -> Column:
-    """Positions (from 1) at which the term's words stand."""
+    """Positions (from 1) at which the term's words stand. The array is an argument of each function and not used within a lambda, where it would be made anew for each element."""
     n = len(term.words)
+    if n == 0:
+        return F.array().cast("array<int>")
+    shifted = [array, *(F.slice(array, k + 1, F.greatest(F.size(array) - k, F.lit(0))) for k in range(1, n))]
+    zipped = F.arrays_zip(*(x.alias(f"w{k}") for k, x in enumerate(shifted)))
 
-    def holds(k: Column) -> Column:
+    def holds(x: Column, i: Column) -> Column:
         test = F.lit(True)
-        for i, w in enumerate(term.words):
-            token = F.get(array, k - 1 + i)
-            test = test & (token.startswith(w) if term.prefix and i == n - 1 else token == w)
-        return F.coalesce(test, F.lit(False))
+        for k, w in enumerate(term.words):
+            token = x[f"w{k}"]
+            test = test & (token.startswith(w) if term.prefix and k == n - 1 else token == w)
+        return F.when(test, i + 1)
 
-    span = F.when(F.size(array) >= n, F.sequence(F.lit(1), F.size(array) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.filter(span, holds)
+    return F.filter(F.transform(zipped, holds), lambda p: p.isNotNull())
 
 
 def _close(left: Column, right: Column, distance: int) -> Column:
