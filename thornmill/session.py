@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -812,15 +813,18 @@ class Engine:
     def _upsert(self, t: Table, rows: DataFrame, key: tuple[str, ...], action: dict[str, str], guard: str | None, alias: str, args: dict) -> tuple[DataFrame, DataFrame]:
         """(rows that stay, rows that are inserted or updated)."""
         new, old = f"__new_{uuid.uuid4().hex[:8]}", f"__old_{uuid.uuid4().hex[:8]}"
-        self._first(rows, key, last=True).createOrReplaceTempView(new)
+        fresh = self._first(rows, key, last=True)
+        fresh.toDF(*(f"__x_{c}" for c in fresh.columns)).createOrReplaceTempView(new)  # bare names mean the table's columns
+        named = lambda text: re.sub(r"(?i)\bexcluded\.`?(\w+)`?", r"excluded.`__x_\1`", text)
+        action, guard = {k: named(v) for k, v in action.items()}, guard and named(guard)
         t.df.createOrReplaceTempView(old)
-        on = " AND ".join(f"`{alias}`.`{k}` = excluded.`{k}`" for k in key)
+        on = " AND ".join(f"`{alias}`.`{k}` = excluded.`__x_{k}`" for k in key)
         columns = ", ".join(f"CAST({action.get(c.name.lower(), f'`{alias}`.`{c.name}`')} AS {c.kind}) AS `{c.name}`" for c in t.stored if not c.generated)
         hit = self._sql(f"SELECT {columns} FROM {old} AS `{alias}` JOIN {new} AS excluded ON {on}" + (f" WHERE {guard}" if guard else ""), args)
         hit = self._pin(self._generated(t, hit))
-        joined = t.df.join(self.spark.table(new).select(*key), list(key), "left_semi") if not guard else self._sql(f"SELECT `{alias}`.* FROM {old} AS `{alias}` JOIN {new} AS excluded ON {on} WHERE {guard}", args)
+        joined = t.df.join(fresh.select(*key), list(key), "left_semi") if not guard else self._sql(f"SELECT `{alias}`.* FROM {old} AS `{alias}` JOIN {new} AS excluded ON {on} WHERE {guard}", args)
         stay = t.df.join(joined.select(*key), list(key), "left_anti").select(*t.df.columns)
-        fresh = self.spark.table(new).join(t.df.select(*key), list(key), "left_anti").select(*rows.columns)
+        fresh = fresh.join(t.df.select(*key), list(key), "left_anti").select(*rows.columns)
         return stay, self._pin(fresh.unionByName(hit))
 
     def _chosen(self, t: Table, alias: str, where: str, order: str, args: dict, source: str = "") -> DataFrame:
