@@ -46,8 +46,8 @@ BROADCAST_ROWS = 500_000
 FILTER_BITS = 1 << 24
 #: Counters of the rarity table, the pieces in which it travels, and how many tasks' tables are added at a time.
 SLOT_BITS, CHUNKS, PARTS = 20, 64, 64
-#: Bits of the signatures that travel with groups, and members of a group that meet in one task.
-SIGNATURE, GROUP = 512, 4_096
+#: Least and most bits of the signatures that travel with groups, and members of a group that meet in one task.
+LEAST_BITS, MOST_BITS, GROUP = 512, 1 << 15, 4_096
 SEEN = 200_000
 _U = np.uint64
 
@@ -85,9 +85,11 @@ def prefix(hashes: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> bytes:
-    """Parities of the elements that hash to each of SIGNATURE bits."""
-    h = _mix(hashes)
-    return np.packbits(np.bincount((h >> _U(64 - SIGNATURE.bit_length() + 1)).astype(np.int64), minlength=SIGNATURE).astype(np.uint8) & 1).tobytes()
+    """Parities of the elements that hash to each bit; about as many bits as elements, since fewer would be alike for any two large sets."""
+    bits = MOST_BITS
+    while bits > LEAST_BITS and bits >= 2 * len(hashes):
+        bits //= 2
+    return np.packbits(np.bincount((_mix(hashes) & _U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
 def _count_slots(width: int):
@@ -210,13 +212,29 @@ def _ties(percent: int):
     """Rows come ordered by group: ties (a forest of them) between the sets of a group that signatures and sizes don't tell apart."""
 
     def tied(sids: list[int], sizes: list[int], sigs: list[bytes]) -> list[tuple[int, int]]:
-        n, of = np.array(sizes), np.frombuffer(b"".join(sigs), _U).reshape(len(sigs), -1)
-        label, found = np.arange(len(n)), []
+        n, width = np.array(sizes), np.array([len(x) for x in sigs])
+        label, found, of = np.arange(len(n)), [], {}
+        for w in np.unique(width):  # every signature of this width or more, folded to it: parities of halves add up
+            rows = np.flatnonzero(width >= w)
+            place = np.zeros(len(n), np.int64)
+            place[rows] = np.arange(len(rows))
+            folded = []
+            for k in rows:
+                x = np.frombuffer(sigs[k], _U)
+                while x.nbytes > w:
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                folded.append(x)
+            of[int(w)] = place, np.stack(folded)
         for k in range(1, len(n)):
             near = np.flatnonzero(label[:k] != label[k])
             least = -(-percent * (n[near] + n[k]) // (100 + percent))
-            spare = n[near] + n[k] - 2 * least  # elements that may differ
-            near = near[(np.minimum(n[near], n[k]) >= least) & (np.bitwise_count(of[near] ^ of[k]).sum(1) <= spare)]
+            fits = np.minimum(n[near], n[k]) >= least
+            near, least = near[fits], least[fits]
+            common, differ = np.minimum(width[near], width[k]), np.zeros(len(near), np.int64)
+            for w in np.unique(common):
+                place, bits = of[int(w)]
+                differ[common == w] = np.bitwise_count(bits[place[near[common == w]]] ^ bits[place[k]]).sum(1)
+            near = near[differ <= n[near] + n[k] - 2 * least]  # elements that may differ
             for j in near:
                 if label[j] != label[k]:
                     found.append((sids[j], sids[k]))
