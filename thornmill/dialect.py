@@ -127,7 +127,6 @@ FUNCTIONS = {
     "TRUNC": lambda a: f"(sign({a[0]}) * floor(abs({a[0]})))",
     "GLOB": lambda a: f"({a[1]} RLIKE '{glob_regex(literal(a[0])).replace(chr(92), chr(92) * 2)}')",
     "LIKE": lambda a: f"({a[1]} ILIKE {a[0]}" + (f" ESCAPE {a[2]})" if len(a) > 2 else ")"),
-    "SQLITE_VERSION": lambda a: "'3.45.0'",
     "TOTAL": lambda a: f"coalesce(sum(cast({a[0]} AS double)), 0.0D)",
     "GROUP_CONCAT": lambda a: f"listagg(cast({a[0]} AS string), {a[1] if len(a) > 1 else chr(39) + ',' + chr(39)})",
     "JSON_GROUP_ARRAY": lambda a: f"to_json(collect_list({a[0]}))",
