@@ -14,3 +14,9 @@ def test_highlight_marks_every_document(spark, tmp_path):
     docs = [(1, "All rights reserved"), (300, "RIGHTS, copyrights"), (987_654, "no match"), (None, "Rights")]
     got = rows(spark, tmp_path, "fts_highlight", documents=("doc_id long, text string", docs))
     assert sorted(got, key=str) == sorted([(1, "All [rights] reserved"), (300, "[RIGHTS], copyrights"), (987_654, "no match"), (None, "[Rights]")], key=str)
+
+
+def test_rank_is_over_all_orders(spark, tmp_path):
+    orders = [(k, k, float(k)) for k in range(1, 201)] + [(201, 7, 200.0)]
+    got = rows(spark, tmp_path, "win_outer_order", orders=("o_orderkey long, o_custkey long, o_totalprice double", orders))
+    assert got == [(200, 1), (201, 2)] + [(200 - k, k + 2) for k in range(1, 9)]
