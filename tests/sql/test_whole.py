@@ -20,3 +20,10 @@ def test_rank_is_over_all_orders(spark, tmp_path):
     orders = [(k, k, float(k)) for k in range(1, 201)] + [(201, 7, 200.0)]
     got = rows(spark, tmp_path, "win_outer_order", orders=("o_orderkey long, o_custkey long, o_totalprice double", orders))
     assert got == [(200, 1), (201, 2)] + [(200 - k, k + 2) for k in range(1, 9)]
+
+
+def test_using_joins_whole_tables(spark, tmp_path):
+    customers = [(1, "a", 5), (100, "b", 5), (70_000, "c", 6), (70_001, "d", None)]
+    suppliers = [(2, "x", 5), (40, "y", 5), (9_000, "z", 6), (9_001, "u", None)]
+    got = rows(spark, tmp_path, "join_using", customer=("c_custkey long, c_name string, c_nationkey int", customers), supplier=("s_suppkey long, s_name string, s_nationkey int", suppliers))
+    assert sorted(got) == [(5, "a", "x"), (5, "a", "y"), (5, "b", "x"), (5, "b", "y"), (6, "c", "z")]
