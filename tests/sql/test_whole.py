@@ -27,3 +27,17 @@ def test_using_joins_whole_tables(spark, tmp_path):
     suppliers = [(2, "x", 5), (40, "y", 5), (9_000, "z", 6), (9_001, "u", None)]
     got = rows(spark, tmp_path, "join_using", customer=("c_custkey long, c_name string, c_nationkey int", customers), supplier=("s_suppkey long, s_name string, s_nationkey int", suppliers))
     assert sorted(got) == [(5, "a", "x"), (5, "a", "y"), (5, "b", "x"), (5, "b", "y"), (6, "c", "z")]
+
+
+CUSTOMERS = ("c_custkey long, c_name string", [(1, "a"), (60, "b"), (500, "c"), (70_000, "d"), (None, "e")])
+
+
+def test_full_join_keeps_both_sides(spark, tmp_path):
+    got = rows(spark, tmp_path, "join_full", customer=CUSTOMERS, supplier=("s_suppkey long, s_acctbal double", [(60, 1.0), (70_000, 1.0), (2, 1.0), (500, -1.0)]))
+    assert sorted(got, key=str) == sorted([(60, 60), (70_000, 70_000), (2, None), (None, 1), (None, 500), (None, None)], key=str)
+
+
+def test_left_join_keeps_every_customer(spark, tmp_path):
+    orders = [(10, 70_000, 300_000.0), (11, 70_000, 250_001.0), (12, 500, 250_000.0), (13, 1, 260_000.0), (14, None, 260_000.0)]
+    got = rows(spark, tmp_path, "join_left", customer=CUSTOMERS, orders=("o_orderkey long, o_custkey long, o_totalprice double", orders))
+    assert sorted(got, key=str) == sorted([(1, 13), (60, None), (500, None), (70_000, 10), (70_000, 11), (None, None)], key=str)
