@@ -1,5 +1,7 @@
 """Registered queries read their tables whole: rows of high ids count like the others."""
 
+import duckdb
+
 from thornmill import plans
 
 
@@ -41,3 +43,13 @@ def test_left_join_keeps_every_customer(spark, tmp_path):
     orders = [(10, 70_000, 300_000.0), (11, 70_000, 250_001.0), (12, 500, 250_000.0), (13, 1, 260_000.0), (14, None, 260_000.0)]
     got = rows(spark, tmp_path, "join_left", customer=CUSTOMERS, orders=("o_orderkey long, o_custkey long, o_totalprice double", orders))
     assert sorted(got, key=str) == sorted([(1, 13), (60, None), (500, None), (70_000, 10), (70_000, 11), (None, None)], key=str)
+
+
+def test_rounding_keeps_ties(spark, tmp_path):
+    prices = [0.05, 0.25, 1.15, 2.5, 1234.35, 499_999.95, -0.25, -2.5, 1.24, None]
+    got = rows(spark, tmp_path, "fn_round", orders=("o_orderkey long, o_totalprice double", list(enumerate(prices))))
+    tenths, whole = [0.1, 0.3, 1.2, 2.5, 1234.4, 500_000.0, -0.3, -2.5, 1.2, None], [0.0, 0.0, 1.0, 3.0, 1234.0, 500_000.0, 0.0, -3.0, 1.0, None]
+    assert sorted(got) == list(zip(range(10), tenths, whole))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert sorted(con.sql(plans.oracle_sql()["fn_round"]).fetchall()) == sorted(got)

@@ -36,7 +36,8 @@ F3.both(
 )
 F3.same("fn_trig", "SELECT l_linenumber AS k, round(sin(l_linenumber), 9) AS s, round(cos(l_linenumber), 9) AS c, round(tan(l_linenumber), 9) AS t, round(asin(1 / CAST(l_linenumber AS DOUBLE)), 9) AS xs, round(acos(1 / CAST(l_linenumber AS DOUBLE)), 9) AS xc, round(atan(l_linenumber), 9) AS xt, round(atan2(l_linenumber, 2), 9) AS x2, round(degrees(l_linenumber), 6) AS d, round(radians(l_linenumber), 9) AS r, round(pi(), 9) AS p FROM {lineitem} WHERE l_orderkey < 200")
 F3.same("fn_hyperbolic", "SELECT n_nationkey, round(sinh(CAST(n_nationkey AS DOUBLE) / 10), 9) AS s, round(cosh(CAST(n_nationkey AS DOUBLE) / 10), 9) AS c, round(tanh(CAST(n_nationkey AS DOUBLE) / 10), 9) AS t, round(asinh(n_nationkey), 9) AS xs, round(acosh(n_nationkey + 1), 9) AS xc, round(atanh(CAST(n_nationkey AS DOUBLE) / 30), 9) AS xt, round(log2(n_nationkey + 1), 9) AS l FROM {nation}")
-F3.same("fn_round", "SELECT o_orderkey, round(o_totalprice, 1) AS a, round(o_totalprice, 0) AS b FROM {orders} WHERE o_totalprice * 100 % 10 <> 5")
+#: Ties go away from zero: Spark rounds the decimal that is printed; DuckDB scales the double, which is exact for ties of prices in cents up to 2,000,000 at least.
+F3.same("fn_round", "SELECT o_orderkey, round(o_totalprice, 1) AS a, round(o_totalprice, 0) AS b FROM {orders}")
 
 # --- dates
 _T = "o_orderdate"
