@@ -9,7 +9,7 @@ units found in most ordinary documents, the toxic one on those that toxic docume
 significantly more often (log-likelihood ratio), besides those of ordinary text, which toxic text has as well.
 
 A document's raw score adds up its TOP most toxic windows, a word each (long words several),
-over the whole text. Isotonic regression on labelled rows that the dictionaries haven't seen turns it into a
+over the whole text, with all that each adds. Isotonic regression on labelled rows that the dictionaries haven't seen turns it into a
 probability.
 
 The dictionaries are fitted on a sample of about SAMPLE labelled documents (chosen by a hash);
@@ -31,15 +31,15 @@ from heapq import nlargest
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, pieces
 from .quality_model import fold, isotonic, training_labels
 
 SAMPLE = 20_000
-#: Letters of a unit, of the longest beginning and of a window, units of each dictionary, least log-likelihood ratio of a toxic unit and times that its share of toxic documents must exceed that of ordinary ones, most that a window adds, windows that count.
-UNIT, LONGEST, WINDOW, TOXIC_UNITS, ORDINARY_UNITS, LEAST_RATIO, LEAST_SHARE, MOST, TOP = 4, 8, 40, 4_096, 16_384, 30.0, 10, 10, 3
+#: Letters of a unit, of the longest beginning and of a window, units of each dictionary, least log-likelihood ratio of a toxic unit and times that its share of toxic documents must exceed that of ordinary ones, windows that count, raw score that means 0.5 where no fold calibrates.
+UNIT, LONGEST, WINDOW, TOXIC_UNITS, ORDINARY_UNITS, LEAST_RATIO, LEAST_SHARE, TOP, EVEN = 4, 8, 40, 4_096, 16_384, 30.0, 10, 3, 10
 WORDS = 400_000
 
 
@@ -70,7 +70,8 @@ class Speller(dict):
 
 def _compressor(listed: list[str], spell: Speller) -> zstandard.ZstdCompressor:
     content = b"".join([spell[u] for u in listed]) + bytes(16)  # the last bytes of a dictionary aren't looked up
-    settings = zstandard.ZstdCompressionParameters(compression_level=0, window_log=19, hash_log=16, chain_log=17, search_log=4, min_match=5, target_length=64, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0)
+    log = max(17, len(content).bit_length())  # each place of the dictionary stays in the tables
+    settings = zstandard.ZstdCompressionParameters(compression_level=0, window_log=19, hash_log=log, chain_log=log, search_log=4, min_match=5, target_length=64, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0)
     dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     dictionary.precompute_compress(compression_params=settings)
     return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings)
@@ -91,7 +92,7 @@ class Distance(dict):
         return found
 
     def raw(self, text: str | None) -> int:
-        return sum(max(0, min(MOST, d)) for d in nlargest(TOP, [self[w] for w in windows(text)]))
+        return sum(max(0, d) for d in nlargest(TOP, [self[w] for w in windows(text)]))
 
 
 def _unit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,12 +137,19 @@ def dictionaries(train: DataFrame) -> tuple[list[str], list[str]]:
     return [r.unit for r in toxic.collect()][::-1], [r.unit for r in ordinary.collect()][::-1]
 
 
-def levels(counts: dict[int, int], ones: dict[int, float], share: float) -> list[float]:
-    """Probability of each raw score from 0 to TOP * MOST: isotonic over those that were seen, the nearest lower one between."""
+def levels(counts: dict[int, int], ones: dict[int, float], share: float) -> tuple[list[int], list[float]]:
+    """The raw scores that were seen, rising, and the probability of each (isotonic); it holds up to the next one."""
     seen = sorted(counts)
     fitted = isotonic(np.array([(ones[k] + share) / (counts[k] + 1) for k in seen]), np.array([counts[k] + 1.0 for k in seen]))
-    at = np.searchsorted(seen, np.arange(TOP * MOST + 1), "right") - 1
-    return [float(fitted[max(0, k)]) for k in at]
+    return seen, [float(x) for x in fitted]
+
+
+def probability(raw: Column, seen: list[int], fitted: list[float]) -> Column:
+    """That of the highest level which the raw score reaches, of the lowest if it reaches none; raw / (raw + EVEN) without levels."""
+    if not seen:
+        return raw / (raw + F.lit(float(EVEN)))
+    reached = F.size(F.filter(F.array(*(F.lit(k) for k in seen)), lambda k: k <= raw))
+    return F.element_at(F.array(*(F.lit(x) for x in fitted)), F.greatest(reached, F.lit(1)))
 
 
 def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", threshold: float = 0.5, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,8 +167,8 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", threshol
     else:
         binned = train.where("fold = 4").select(F.col("y"), "text").mapInArrow(_raw(toxic, ordinary), "key double, raw int").groupBy("raw").agg(F.count("*").alias("n"), F.sum("key").alias("ones")).collect()
         share = sum(r.ones for r in binned) / max(1, sum(r.n for r in binned))
-        of = levels({r.raw: r.n for r in binned}, {r.raw: r.ones for r in binned}, share) if binned else [k / (2.0 * MOST) for k in range(TOP * MOST + 1)]
+        seen, fitted = levels({r.raw: r.n for r in binned}, {r.raw: r.ones for r in binned}, share) if binned else ([], [])
         kind = docs.schema[id_col].dataType.simpleString()
         raw = rows.mapInArrow(_raw(toxic, ordinary), f"key {kind}, raw int")
-        scored = raw.select(F.col("key").alias("doc_id"), F.element_at(F.array(*(F.lit(x) for x in of)), F.col("raw") + 1).alias("score"))
+        scored = raw.select(F.col("key").alias("doc_id"), probability(F.col("raw"), seen, fitted).alias("score"))
     return scored.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
