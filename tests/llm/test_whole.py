@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from thornmill.llm import toxicity
+import corpus_pipeline
+from thornmill.llm import mixing, toxicity
 
 
 # --- 7: toxicity
@@ -26,3 +27,17 @@ def test_levels_hold_up_to_the_next(spark):
     at = lambda *of: [r.p for r in raw.select(toxicity.probability(F.col("raw"), *of).alias("p")).collect()]
     assert at([2, 5, 40], [0.1, 0.2, 0.9]) == [0.1, 0.1, 0.2, 0.2, 0.9]
     assert at([], []) == pytest.approx([0.0, 4 / 14, 1 / 3, 39 / 49, 500 / 510])
+
+
+# --- 6 in the pipeline
+def test_mix_stage_deals_shards(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    got, dealt = corpus_pipeline.mix(spark, docs, d), mixing.mixed(docs, ordered=True)
+    assert got.columns == docs.columns
+    assert [r.doc_id for r in got.collect()] == [r.doc_id for r in dealt.collect()]
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in mixing.mixed(docs).collect())
+    parts = {}
+    for r in dealt.select("shard", F.spark_partition_id().alias("part")).collect():
+        parts.setdefault(r.part, []).append(r.shard)
+    assert len(set(sum(parts.values(), []))) > 32 and all(p == sorted(p) for p in parts.values())
