@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from thornmill.llm import mixing, toxicity
+from thornmill.llm import mixing, quality_rules, toxicity
 
 
 # --- 7: toxicity
@@ -41,3 +41,12 @@ def test_mix_stage_deals_shards(spark):
     for r in dealt.select("shard", F.spark_partition_id().alias("part")).collect():
         parts.setdefault(r.part, []).append(r.shard)
     assert len(set(sum(parts.values(), []))) > 32 and all(p == sorted(p) for p in parts.values())
+
+
+# --- 2: quality rules
+def test_common_words_may_be_long(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "HELD_WORDS", 3)  # sums that are handed on early add up all the same
+    texts = [("en", "Therefore therefore government the --- ---"), ("en", "the therefore the"), ("ru", "потому потому что"), ("ru", None)] * 3
+    found = quality_rules.references(spark.createDataFrame(texts, "lang string, text string").repartition(3))
+    assert list(found["en"][1]) == [b"the", b"therefore", b"government"] and found["en"][2].tolist() == pytest.approx([3 / 9, 3 / 9, 1 / 9, 2 / 9])
+    assert list(found["ru"][1]) == ["потому".encode(), "что".encode()] and found["ru"][2].tolist() == pytest.approx([2 / 3, 1 / 3, 0.0])

@@ -2,10 +2,10 @@
 
 Two histograms of a document, over character classes and over its language's common words,
 are compared with the same histograms of the whole language by Jensen-Shannon distance.
-References are counted over every document: each task sums its classes and short words, and
+References are counted over every document: each task sums its classes and words, and
 the sums are added per language, so no group is ever gathered. The common words of a language
-are the COMMON most frequent among words of at most SHORT bytes (function words are short),
-which keeps what is counted small and exact; signs without a letter are no words here. Guards: a histogram of fewer than GUARD_CHARS
+are the COMMON most frequent of all its words, long or short; signs without a letter are no words
+here. A task hands on its sums whenever they are many or stand for much text, and goes on. Guards: a histogram of fewer than GUARD_CHARS
 characters or GUARD_WORDS words says nothing and passes.
 
 Defined results: null text counts as empty, which fails the base rule (fewer than 20 words);
@@ -28,7 +28,8 @@ from .common import SEPARATORS, pieces
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 MIN_WORDS, MAX_REPEATED = 20, 30  # words, percent of words in repeated windows
-SHORT, COMMON = 6, 64
+COMMON = 64
+HELD_WORDS, HELD_BYTES = 200_000, 64 << 20  # distinct words and bytes of text that a task sums up before it hands its sums on
 GUARD_CHARS, GUARD_WORDS = 200, 60
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.35, 0.48
 
@@ -80,10 +81,11 @@ def duplicate_lines(raw: bytes) -> int:
 
 
 def _reference_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, kind, key, n): class counts, short words and all words of this task's documents."""
+    """(lang, kind, key, n): class counts, words and how many there are of this task's documents."""
     classes: dict = defaultdict(lambda: np.zeros(len(CLASSES), np.int64))
     words: dict = defaultdict(Counter)
     total: Counter = Counter()
+    held = 0
 
     def flush():
         rows = [(lang, "class", name.encode(), int(n)) for lang, c in classes.items() for name, n in zip(CLASSES, c, strict=True) if n]
@@ -100,9 +102,11 @@ def _reference_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             classes[lang] += class_counts(raw)
             found = raw.lower().split()
             total[lang] += len(found)
-            words[lang].update([w for w in found if len(w) <= SHORT])
-        if sum(map(len, words.values())) > 200_000:
+            words[lang].update(found)
+            held += len(raw)
+        if sum(map(len, words.values())) > HELD_WORDS or held > HELD_BYTES:
             yield flush()
+            held = 0
     yield flush()
 
 
