@@ -8,20 +8,25 @@ tried; the one that is compatible with the last token of the prefix it leaves is
 Following the stored tokens back from the end gives exactly the ids that merging gives, in
 time linear in the length, so that a text without any space is no special case.
 
-Defined results: null text encodes as the empty text (no ids); special tokens' strings in a
-text become their ids; rows with equal or null ids are kept as they are, one result for
-each; columns other than the id and the text are not read.
+A Python worker keeps the ids of frequent chunks in a bounded number of bytes (see ``Kept``);
+very long words are not kept, and one of a million bytes takes 8 for each of its prefixes
+while it is encoded.
+
+Defined results: null and empty texts have no ids (and decode as the empty text); special
+tokens' strings in a text become their ids; very long texts and words are encoded whole; rows with
+equal or null ids are kept as they are, one result for each; an empty table gives no rows;
+columns other than the id and the text are not read, and ``decode`` keeps them, but for one
+named as its result, which is replaced.
 """
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import gc
 import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,11 +37,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HELD, pieces
+from .common import HELD, Kept, enter, extended, pieces
 
 NEVER = 1 << 60
-#: Words and chunks kept with their ids by each Python worker, and pairs with their compatibility.
-WORDS, CHUNKS, PAIRS = 350_000, 200_000, 350_000
+#: Bytes in which each Python worker keeps chunks with their ids, pairs with their compatibility, and the ends of tokens.
+CHUNKS, PAIRS, SPINES = 72 << 20, 24 << 20, 4 << 20
+#: Bytes of a word from which its table of prefixes is packed.
+PACKED = 4_096
 #: White space as Unicode defines it (the property White_Space).
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 #: How byte-level tokenizers split a text before merging.
@@ -60,19 +67,6 @@ def byte_letters() -> dict[int, str]:
     return letters | {b: chr(0x100 + k) for k, b in enumerate(rest)}
 
 
-class _Kept(dict):
-    """What ``make`` gives for a key, kept until there are ``most`` keys."""
-
-    def __init__(self, make, most: int) -> None:
-        self.make, self.most = make, most
-
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        found = self[key] = self.make(key)
-        return found
-
-
 class PrefixBpe:
     """A byte-level BPE tokenizer file, read once by each process."""
 
@@ -96,34 +90,29 @@ class PrefixBpe:
             if whole not in self.parts:
                 self.parts[whole], self.born[whole] = pair, k
         # an entry is a token and, in its low 16 bits, the token's length; a pair is an entry above another
-        self.pairs = _Kept(lambda pair: self._meets(pair >> 64, pair >> 16 & 0xFFFFFFFF, NEVER), PAIRS)
-        self.spines: tuple[dict[int, list], dict[int, list]] = ({}, {})
+        self.pairs = Kept(lambda pair: self._meets(pair >> 64, pair >> 16 & 0xFFFFFFFF, NEVER), PAIRS, lambda pair, meets: 130)
+        self.spines = tuple(Kept(lambda token, side=side: self._spine(token, side), SPINES, lambda token, spine: 200 + 4 * len(spine)) for side in (0, 1))
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
         for token, i in vocab.items():
             if len(token) == 1 and ord(token) in byte_of or i in self.parts and self._meets(*self.parts[i], self.born[i]):
                 self.automaton.add_word(self.bytes_of[i].decode("latin-1"), i << 16 | len(self.bytes_of[i]))
         self.automaton.make_automaton()
-        self.words = _Kept(lambda w: self.word(w.encode()), WORDS)
-        self.chunks = _Kept(self._chunk, CHUNKS)
+        self.chunks = Kept(self._chunk, CHUNKS, lambda chunk, found: 270 + 2 * len(chunk) + len(found[0]))
         self.doubled = re.compile(f"[{_SPACE}][{_SPACE}]|\0").search
 
-    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
-        """The tokens that stood at this end while ``token`` was merged, first to last, each with the rank at which it was merged away."""
-        found = self.spines[side].get(token)
-        if found is None:
-            chain, at = [(token, NEVER)], token
-            while at in self.parts:
-                gone, at = self.born[at], self.parts[at][side]
-                chain.append((at, gone))
-            found = self.spines[side][token] = chain[::-1]
-        return found
+    def _spine(self, token: int, side: int) -> array:
+        """The tokens that stood at this end while ``token`` was merged, first to last: each was merged away when the next was born."""
+        chain = [token]
+        while chain[-1] in self.parts:
+            chain.append(self.parts[chain[-1]][side])
+        return array("i", chain[::-1])
 
     def _meets(self, left: int, right: int, until: int) -> bool:
         """Do both tokens come about untouched, with no merge across their border before rank ``until``?"""
-        a, b, i, j = self._spine(left, 1), self._spine(right, 0), 0, 0
+        a, b, born, i, j = self.spines[1][left], self.spines[0][right], self.born, 0, 0
+        x_gone, y_gone = (born[s[1]] if len(s) > 1 else NEVER for s in (a, b))
         while True:
-            (x, x_gone), (y, y_gone) = a[i], b[j]
-            across = self.rank.get((x, y), NEVER)
+            across = self.rank.get((a[i], b[j]), NEVER)
             # of equal merges the leftmost goes first: the left token's own wins over one across, that one over the right token's
             if across < until and across < x_gone and across <= y_gone:
                 return False
@@ -131,12 +120,14 @@ class PrefixBpe:
                 return True
             if x_gone <= y_gone:
                 i += 1
+                x_gone = born[a[i + 1]] if i + 1 < len(a) else NEVER
             else:
                 j += 1
+                y_gone = born[b[j + 1]] if j + 1 < len(b) else NEVER
 
     def word(self, word: bytes) -> list[int]:
         """Ids of a string that isn't split further."""
-        last, pairs = [-1] * (len(word) + 1), self.pairs
+        last, pairs = [-1] * (len(word) + 1) if len(word) < PACKED else array("q", [-1]) * (len(word) + 1), self.pairs
         for end, entry in self.automaton.iter(word.decode("latin-1")):
             if last[end + 1] < 0:
                 start = end + 1 - (entry & 0xFFFF)
@@ -153,12 +144,17 @@ class PrefixBpe:
     def join(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
 
-    def _chunk(self, chunk: str) -> tuple[int, str, bytes]:
-        """Number of ids, ids joined by commas and decoded bytes."""
-        ids = [i for w in self.split(chunk) for i in self.words[w]]
-        return len(ids), ",".join(map(str, ids)), self.join(ids)
-
-    def _records(self, text: str) -> list[tuple[int, str, bytes]]:
+    def _chunk(self, chunk: str) -> tuple[str, str]:
+        """Ids joined by commas, and what they decode to (the chunk itself, if the text is valid)."""
+        words = self.split(chunk)
+        if len(words) > 1:
+            parts = [self.chunks[w] for w in words]
+            return ",".join([p[0] for p in parts]), "".join([p[1] for p in parts])
+        ids = self.word(chunk.encode())
+        decoded = self.join(ids).decode("utf-8", "replace")
+        return ",".join(map(str, ids)), chunk if decoded == chunk else decoded
+
+    def _records(self, text: str) -> list[tuple[str, str]]:
         """Where no white space follows white space, words end before each blank and on both sides of each line end; else the pattern says where."""
         if self.doubled(text):
             chunks = self.split(text)
@@ -168,20 +164,20 @@ class PrefixBpe:
         kept = self.chunks
         return [kept[c] for c in chunks]
 
-    def records(self, text: str) -> list[tuple[int, str, bytes]]:
+    def records(self, text: str) -> list[tuple[str, str]]:
         """What ``_chunk`` gives, for each chunk and special token of the text."""
         if not any(t in text for t in self.special):
             return self._records(text)
         found = []
         for k, part in enumerate(self.around.split(text)):
             if k % 2:
-                found.append((1, str(self.special[part]), part.encode()))
+                found.append((str(self.special[part]), part))
             elif part:
                 found += self._records(part)
         return found
 
     def encode(self, text: str | None) -> list[int]:
-        joined = ",".join([r[1] for r in self.records(text or "")])
+        joined = ",".join([r[0] for r in self.records(text or "")])
         return [int(x) for x in joined.split(",")] if joined else []
 
     def decode(self, ids: list[int]) -> str:
@@ -195,46 +191,49 @@ def codec(path: str) -> PrefixBpe:
 
 
 def _release() -> None:
-    """Give the tables' memory back to the system; a no-op where there are none."""
+    """Let go of the tables; a no-op where there are none."""
     if codec.cache_info().currsize:
         codec.cache_clear()
         gc.unfreeze()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # not every C library can
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (array<int>, if asked for), ids_sha256, decoded_sha256 of each row. No shuffle: each row for itself."""
-    kind = docs.schema[id_col].dataType
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    names = ["n_tokens", *(["ids"] if ids else []), "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("bpe")
         model = codec(resolve(tokenizer))
         gc.freeze()  # the tables stay; collecting over them again and again takes a fifth of the time
         gc.set_threshold(200_000, 20, 100)
-        for batch in pieces(batches, operator="bpe"):
+        for batch in pieces(batches, most=2 << 20, operator="bpe"):
             counts, lists, coded, decoded = [], [], [], []
             for text in batch.column(1).to_pylist():
-                ns, parts, raw = zip(*found) if (found := model.records(text or "")) else ((), (), ())
+                parts, raw = zip(*found) if (found := model.records(text or "")) else ((), ())
                 joined = ",".join(parts)
-                counts.append(sum(ns))
+                counts.append(joined.count(",") + 1 if joined else 0)
                 coded.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded.append(hashlib.sha256(b"".join(raw).decode("utf-8", "replace").encode()).hexdigest())
+                decoded.append(hashlib.sha256("".join(raw).encode()).hexdigest())
                 if ids:
-                    lists.append(np.array(joined.split(","), np.int32) if joined else np.empty(0, np.int32))
+                    lists.append(np.fromstring(joined, np.int32, sep=",") if joined else np.empty(0, np.int32))
             arrays = [batch.column(0), pa.array(counts, pa.int64()), *([pa.array(lists, pa.list_(pa.int32()))] if ids else []), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", *(["ids"] if ids else []), "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *names])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind.simpleString()}, n_tokens long, {'ids array<int>, ' if ids else ''}ids_sha256 string, decoded_sha256 string")
+    kinds = {"n_tokens": "long", "ids": "array<int>"}
+    return rows.mapInArrow(run, extended(rows.select("doc_id"), *((n, kinds.get(n, "string")) for n in names)))
 
 
-def decode(rows: DataFrame, tokenizer: str = "byte_bpe_50k.json", ids_col: str = "ids") -> DataFrame:
-    """rows with a column ``decoded``: the text of the ids, wrong UTF-8 as U+FFFD; null ids give null."""
+def decode(rows: DataFrame, tokenizer: str = "byte_bpe_50k.json", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """rows with a column ``out_col``: the text of the ids, wrong UTF-8 as U+FFFD; null ids give null."""
+    kept = [c for c in rows.columns if c.lower() != out_col.lower() or c == ids_col]
+    rest = rows.select(*(F.col(f"`{c}`") for c in kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("bpe")
         model = codec(resolve(tokenizer))
         for batch in batches:
-            found = [None if x is None else model.decode(x) for x in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, "decoded"])
+            found = [None if x is None else model.decode(x) for x in batch.column(kept.index(ids_col)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, out_col])
 
-    return rows.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, decoded string")
+    return rest.mapInArrow(run, extended(rest, (out_col, "string")))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -10,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: Bytes that end a word; the same six as bytes.split() without arguments uses.
 SEPARATORS = b" \t\n\x0b\x0c\r"
@@ -22,10 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which the driver and all executors see.
 
-    Only where the setting is absent (tests, a single machine) a folder of our own is set.
+    Where the setting is absent, a single machine (tests) gets a folder of its own; a cluster,
+    whose machines don't share one, is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("THORNMILL_SHARED")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.environ["THORNMILL_SHARED"] = "file://" + tempfile.mkdtemp(prefix="thornmill-")
     path = f"{base.rstrip('/')}/thornmill/{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
@@ -53,15 +60,33 @@ def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
+def extended(df: DataFrame, *more: tuple[str, str]) -> StructType:
+    """The schema of df with columns (name, type) after its own; types that are long to spell out stay whole."""
+    return StructType([*df.schema.fields, *(StructField(name, _parse_datatype_string(kind)) for name, kind in more)])
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1 and so on, so that no name can clash with an operator's own."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
 #: What operators keep from task to task in a Python worker, and how to let go of it.
 HELD: dict[str, Callable[[], None]] = {}
+_INSIDE = [""]
 
 
 def enter(operator: str) -> None:
-    """A worker serves one operator after another: what the others keep goes."""
+    """A worker serves one operator after another: at each change, what the others keep goes, and freed memory goes back to the system."""
+    if operator == _INSIDE[0]:
+        return
+    _INSIDE[0] = operator
     for name, drop in HELD.items():
         if name != operator:
             drop()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8 << 20, operator: str = "") -> Iterator[pa.RecordBatch]:
@@ -73,3 +98,30 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8
         step = max(1, min(rows, rows * most // size)) if rows else 1
         for at in range(0, rows, step):
             yield batch.slice(at, step)
+
+
+class Kept(dict):
+    """What ``make`` gives for a key, in about ``most`` bytes; ``weigh`` tells those of an entry, its place in the table included.
+
+    Two generations: when the young one is half of that, it becomes the old one, and what
+    is asked for again moves over, so that frequent keys stay. An entry of more than ``heaviest`` bytes
+    isn't kept at all.
+    """
+
+    def __init__(self, make: Callable, most: int, weigh: Callable, heaviest: int = 2_048) -> None:
+        self.make, self.half, self.weigh, self.heaviest, self.old, self.size = make, most // 2, weigh, heaviest, {}, 0
+
+    def __missing__(self, key):
+        found = self.old.pop(key, None)
+        if found is None:
+            found = self.make(key)
+        weight = self.weigh(key, found)
+        if weight > self.heaviest:
+            return found
+        self.size += weight
+        if self.size > self.half:
+            self.old = dict(self)
+            self.clear()
+            self.size = weight
+        self[key] = found
+        return found
