@@ -1,32 +1,36 @@
-"""Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary text.
-
-A window of text is compressed with each dictionary; it is the more toxic the fewer bytes the toxic one
-needs by comparison. Compressed bytes are too coarse for a window of a few letters, so a
-window is first spelled out: each four letters of it (its ends marked by blanks) and each of its beginnings become
-eight fixed bytes, which cost eight bytes where a dictionary lacks them and one or two where it has them. The
-dictionaries are trained on what labelled documents hold in these units: the ordinary one on the
-units found in most ordinary documents, the toxic one on those that toxic documents have
-significantly more often (log-likelihood ratio), besides those of ordinary text, which toxic text has as well.
-
-A document's raw score adds up its TOP most toxic windows, a word each (long words several),
-over the whole text, with all that each adds. Isotonic regression on labelled rows that the dictionaries haven't seen turns it into a
-probability.
-
-The dictionaries are fitted on a sample of about SAMPLE labelled documents (chosen by a hash);
-every document is scored. Folds are crc32(doc_id as text) mod 5; fold 0 is held out, fold 4
-calibrates. Labels, language, source and id are no inputs of a score.
-
-Defined results: null and empty texts have raw score 0 and are scored as such; a document with
-several labels takes their mean, rounded up; without labels of both kinds every score is the share of label 1
-(0.5 without any); each row gives a row; other columns are not read.
+"""Toxicity by compression distance: zstandard dictionaries trained on toxic and, apart from them, on ordinary text.
+
+A window of running text (each two words that follow each other) is compressed with
+a dictionary of each kind; it is the more toxic the fewer bytes the toxic one needs by
+comparison. zstandard counts whole bytes and hardly compresses so few letters, so a window is first spelled out:
+each four bytes of a word (its ends marked by blanks) become eight fixed bytes, which cost eight
+bytes where a dictionary lacks them, and little where it has a whole run of them. (Without
+that, dictionaries of the plain text tell next to nothing on such windows; README has figures.)
+
+Dictionaries come from zstandard's own training (``train_dictionary``) on the distinct words
+of toxic and of ordinary labelled documents, in pairs of several sizes, whose differences are added:
+large ones know more words, small ones only what is typical. A document's raw score adds up its TOP most toxic
+distinct windows, found over the whole text. Isotonic regression on labelled rows that the dictionaries haven't seen turns it
+into a probability.
+
+Fitting uses a sample of about SAMPLE labelled documents (chosen by a hash) and of them at most about
+SAMPLES words of each kind; every document is scored. Folds are crc32(doc_id as text) mod 5; fold 0 is held
+out, fold 4 calibrates. Labels, language, source and id are no inputs of a score.
+
+Defined results: null and empty texts have the lowest raw score; words of more than LONGEST bytes
+count as several; very long texts are read to their end, in blocks; a document with several labels takes their mean,
+rounded up; labels that are null or without a document are not used; without labels of both kinds, or with too
+few of one for a dictionary, every score is the share of label 1 (0.5 without any); rows with null
+ids are scored and not held out, repeated rows each give a row; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from heapq import nlargest
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -34,109 +38,145 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces
+from .common import Kept, cut, extended, pieces
 from .quality_model import fold, isotonic, training_labels
 
-SAMPLE = 20_000
-#: Letters of a unit, of the longest beginning and of a window, units of each dictionary, least log-likelihood ratio of a toxic unit and times that its share of toxic documents must exceed that of ordinary ones, windows that count, raw score that means 0.5 where no fold calibrates.
-UNIT, LONGEST, WINDOW, TOXIC_UNITS, ORDINARY_UNITS, LEAST_RATIO, LEAST_SHARE, TOP, EVEN = 4, 8, 40, 4_096, 16_384, 30.0, 10, 3, 10
-WORDS = 400_000
-
-
-def windows(text: str | None) -> set[str]:
-    """The distinct words; those that are longer than a window as windows that overlap by a unit."""
-    found = set((text or "").lower().split())
-    for w in [w for w in found if len(w) > WINDOW]:
-        found.remove(w)
-        found.update(w[k : k + WINDOW] for k in range(0, len(w) - UNIT, WINDOW - UNIT))
+SAMPLE, SAMPLES = 20_000, 400_000
+#: Windows that count.
+TOP = 3
+#: Bytes of a unit, of what stands for it, and of the longest word.
+UNIT, CODE, LONGEST = 4, 8, 40
+#: Bytes of the ordinary and the toxic dictionary of each pair, and of the segments that training picks.
+PAIRS, SEGMENT = ((65_536, 32_768), (20_480, 16_384)), 64
+#: Raw score of a text without words, and the one that means 0.5 where no fold calibrates.
+NOTHING, EVEN = -10_000, 60
+#: Words of a text that are read at a time, windows whose differences a worker remembers, and bytes of its spelled words and units.
+BLOCK, REMEMBERED, WORDS, UNITS = 50_000, 60_000, 24 << 20, 8 << 20
+
+
+def words(text: str | None) -> list[bytes]:
+    """The lower-case words; those that are longer than LONGEST bytes in pieces."""
+    found = (text or "").lower().encode("utf-8", "surrogatepass").split()
+    if any(len(w) > LONGEST for w in found):
+        found = [w[k : k + LONGEST] for w in found for k in range(0, len(w), LONGEST)]
     return found
 
 
-def units(window: str) -> list[str]:
-    """Each four letters, and the beginnings of three to eight letters (marked), since words of one meaning often share their beginning alone."""
-    padded = f" {window} "
-    return [padded[k : k + UNIT] for k in range(max(1, len(padded) - UNIT + 1))] + ["^" + window[:k] for k in range(3, min(LONGEST, len(window)) + 1)]
+class Speller:
+    """Words -> the codes of their units, one after another."""
 
+    def __init__(self) -> None:
+        self.units = Kept(lambda u: hashlib.blake2b(u, digest_size=CODE).digest(), UNITS, lambda u, code: 180)
+        self.words = Kept(self._word, WORDS, lambda w, spelled: 170 + len(w) + len(spelled))
 
-class Speller(dict):
-    """Unit -> its eight bytes."""
+    def _word(self, word: bytes) -> bytes:
+        padded = b" " + word + b" "
+        return b"".join([self.units[padded[k : k + UNIT]] for k in range(max(1, len(padded) - UNIT + 1))])
 
-    def __missing__(self, unit: str) -> bytes:
-        if len(self) >= WORDS:
-            self.clear()
-        found = self[unit] = hashlib.blake2b(unit.encode("utf-8", "surrogatepass"), digest_size=8).digest()
-        return found
+    def buffer(self, windows: list[tuple[bytes, ...]]) -> zstandard.BufferWithSegments:
+        spelled = [b"".join([self.words[w] for w in window]) for window in windows]
+        sizes = np.fromiter(map(len, spelled), np.uint64, len(spelled))
+        return zstandard.BufferWithSegments(b"".join(spelled), np.stack([np.cumsum(sizes) - sizes, sizes], 1).tobytes())
 
 
-def _compressor(listed: list[str], spell: Speller) -> zstandard.ZstdCompressor:
-    content = b"".join([spell[u] for u in listed]) + bytes(16)  # the last bytes of a dictionary aren't looked up
-    log = max(17, len(content).bit_length())  # each place of the dictionary stays in the tables
-    settings = zstandard.ZstdCompressionParameters(compression_level=0, window_log=19, hash_log=log, chain_log=log, search_log=4, min_match=5, target_length=64, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0)
-    dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    settings = zstandard.ZstdCompressionParameters(compression_level=1, window_log=17, hash_log=14, chain_log=14, strategy=zstandard.STRATEGY_FAST, target_length=1, min_match=5, write_content_size=0, write_checksum=0, write_dict_id=0)
+    dictionary = zstandard.ZstdCompressionDict(content)
     dictionary.precompute_compress(compression_params=settings)
     return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings)
 
 
-class Distance(dict):
-    """Window -> bytes that the ordinary dictionary needs more than the toxic one."""
-
-    def __init__(self, toxic: list[str], ordinary: list[str]) -> None:
-        self.spell = Speller()
-        self.toxic, self.ordinary = _compressor(ordinary + toxic, self.spell), _compressor(ordinary, self.spell)
-
-    def __missing__(self, window: str) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        spelled = b"".join([self.spell[u] for u in units(window)])
-        found = self[window] = len(self.ordinary.compress(spelled)) - len(self.toxic.compress(spelled))
-        return found
+class Distance:
+    """pairs: (ordinary, toxic) dictionaries, as they were trained."""
+
+    def __init__(self, pairs: list[tuple[bytes, bytes]]) -> None:
+        self.speller = Speller()
+        self.pairs = [(_compressor(a), _compressor(b)) for a, b in pairs]
+        self.young: dict[tuple, int] = {}
+        self.old: dict[tuple, int] = {}
+
+    def differences(self, windows: list[tuple[bytes, ...]]) -> list[int]:
+        """For each window, bytes that the ordinary dictionaries need more than the toxic ones."""
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        if new := [w for w in windows if w not in young and w not in old]:
+            spelled = self.speller.buffer(new)
+            total = np.zeros(len(new), np.int64)
+            for ordinary, toxic in self.pairs:
+                for compressor, sign in ((ordinary, 1), (toxic, -1)):
+                    total += sign * np.fromiter(map(len, compressor.multi_compress_to_buffer(spelled, threads=0)), np.int64, len(new))
+            young.update(zip(new, total.tolist(), strict=True))
+        return [young[w] if w in young else young.setdefault(w, old[w]) for w in windows]
 
     def raw(self, text: str | None) -> int:
-        return sum(max(0, d) for d in nlargest(TOP, [self[w] for w in windows(text)]))
+        found, best, seen = words(text), [], set()
+        for at in range(0, len(found), BLOCK):
+            some = found[at : at + BLOCK + 1]
+            windows = list(set(zip(some, some[1:], strict=False)) - seen if len(some) > 1 else {tuple(some)} if not best else set())
+            top = nlargest(TOP, zip(self.differences(windows), windows, strict=True))
+            seen.update(w for _, w in top)
+            best = nlargest(TOP, best + [d for d, _ in top])
+        return sum(best) if best else NOTHING
 
 
-def _unit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(unit, toxic, ordinary): documents of each kind that hold the unit."""
-    counts = (Counter(), Counter())
+def _samples(rates: dict[float, float]):
+    """(y, words): of each document's distinct words, the share that its kind's rate says, chosen by a hash."""
 
-    def flush():
-        keys = list({**counts[0], **counts[1]})
-        out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (counts[1], counts[0]))], ["unit", "toxic", "ordinary"])
-        counts[0].clear(), counts[1].clear()
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, operator="toxicity"):
+            kinds, lists = [], []
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                below = int(rates[y] * (1 << 32))
+                found = dict.fromkeys(words(text))
+                for some in batched((w for w in found if rates[y] >= 1 or int.from_bytes(hashlib.blake2b(w, digest_size=4, key=str(len(found)).encode()).digest()) < below), 5_000):
+                    kinds.append(y)
+                    lists.append(list(some))
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.float64()), pa.array(lists, pa.list_(pa.binary()))], ["y", "words"])
 
-    for batch in pieces(batches):
-        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[int(y)].update({u for w in windows(text) for u in units(w)})
-        if len(counts[0]) + len(counts[1]) > 500_000:
-            yield flush()
-    yield flush()
+    return run
 
 
-def _raw(toxic: list[str], ordinary: list[str]):
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = {0.0: 0, 1.0: 0}
+    for batch in pieces(batches, operator="toxicity"):
+        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total[y] += len(set(words(text)))
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.float64()), pa.array(list(total.values()), pa.int64())], ["y", "n"])
+
+
+def _train(table: pa.Table) -> pa.Table:
+    """(y, size, content): the dictionaries of one kind, none if zstandard finds the samples too few. A group is SAMPLES words or so."""
+    y, speller = table.column("y")[0].as_py(), Speller()
+    samples = [speller.words[w] for found in sorted(table.column("words").to_pylist()) for w in found]
+    sizes, contents = [pair[int(y)] for pair in PAIRS], []
+    for size in sizes:
+        try:
+            contents.append(zstandard.train_dictionary(size, samples, k=SEGMENT, d=CODE).as_bytes())
+        except zstandard.ZstdError:
+            return pa.table({"y": pa.array([], pa.float64()), "size": pa.array([], pa.int32()), "content": pa.array([], pa.binary())})
+    return pa.table({"y": pa.array([y] * len(sizes), pa.float64()), "size": pa.array(sizes, pa.int32()), "content": pa.array(contents, pa.binary())})
+
+
+def dictionaries(train: DataFrame) -> list[tuple[bytes, bytes]]:
+    """The (ordinary, toxic) dictionaries of each pair, or none. train: text, y. They come to the driver, of PAIRS bytes in all."""
+    counts = {r.y: r.n for r in train.select("text", "y").mapInArrow(_counts, "y double, n long").groupBy("y").agg(F.sum("n").alias("n")).collect()}
+    if not counts.get(0.0) or not counts.get(1.0):
+        return []
+    samples = train.select("text", "y").mapInArrow(_samples({y: min(1.0, SAMPLES / n) for y, n in counts.items()}), "y double, words array<binary>")
+    found = {(r.y, r.size): bytes(r.content) for r in samples.groupBy("y").applyInArrow(_train, "y double, size int, content binary").collect()}
+    return [(found[0.0, a], found[1.0, b]) for a, b in PAIRS] if len(found) == 2 * len(PAIRS) else []
+
+
+def _raw(pairs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distance = Distance(toxic, ordinary)
-        for batch in pieces(batches):
+        distance = Distance(pairs.value)
+        for batch in pieces(batches, operator="toxicity"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([distance.raw(t) for t in batch.column(1).to_pylist()], pa.int32())], ["key", "raw"])
 
     return run
 
 
-def dictionaries(train: DataFrame) -> tuple[list[str], list[str]]:
-    """(toxic, ordinary) units, the most telling last. train: text, y."""
-    kinds = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    ones, zeros = kinds.get(1.0, 0), kinds.get(0.0, 0)
-    if not ones or not zeros:
-        return [], []
-    counts = cut(train.select("text", "y").mapInArrow(_unit_counts, "unit string, toxic long, ordinary long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
-    share = F.expr(f"(toxic + ordinary) / {ones + zeros}D")
-    ratio = 2 * (F.col("toxic") * F.log(F.col("toxic") / (ones * share)) + F.when(F.col("ordinary") > 0, F.col("ordinary") * F.log(F.col("ordinary") / (zeros * share))).otherwise(0.0))
-    counts = counts.withColumn("ratio", F.when(F.expr(f"toxic > 0 AND toxic / {ones}D > {LEAST_SHARE} * ordinary / {zeros}D"), ratio).otherwise(0.0))
-    toxic = counts.where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "unit").limit(TOXIC_UNITS)
-    ordinary = counts.where((F.col("ordinary") > 0) & (F.col("ratio") < LEAST_RATIO)).orderBy(F.desc("ordinary"), "unit").limit(ORDINARY_UNITS)
-    return [r.unit for r in toxic.collect()][::-1], [r.unit for r in ordinary.collect()][::-1]
-
-
 def levels(counts: dict[int, int], ones: dict[int, float], share: float) -> tuple[list[int], list[float]]:
     """The raw scores that were seen, rising, and the probability of each (isotonic); it holds up to the next one."""
     seen = sorted(counts)
@@ -145,30 +185,31 @@ def levels(counts: dict[int, int], ones: dict[int, float], share: float) -> tupl
 
 
 def probability(raw: Column, seen: list[int], fitted: list[float]) -> Column:
-    """That of the highest level which the raw score reaches, of the lowest if it reaches none; raw / (raw + EVEN) without levels."""
+    """That of the highest level which the raw score reaches, of the lowest if it reaches none; without levels, 0.5 at EVEN and rising."""
     if not seen:
-        return raw / (raw + F.lit(float(EVEN)))
+        return 1 / (1 + F.exp((EVEN - raw) / F.lit(10.0)))
     reached = F.size(F.filter(F.array(*(F.lit(k) for k in seen)), lambda k: k <= raw))
     return F.element_at(F.array(*(F.lit(x) for x in fitted)), F.greatest(reached, F.lit(1)))
 
 
 def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", threshold: float = 0.5, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of each row."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     known = cut(training_labels(labels, label_col))
     total = known.count()
     if total > sample:
         known = known.where(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * sample / total)))
     train = cut(rows.join(F.broadcast(known.limit(2 * sample)), F.col("doc_id") == F.col("label_id")).select("text", "y", "fold"))
-    toxic, ordinary = dictionaries(train.where("fold <> 4"))
-    if not toxic:
+    pairs = dictionaries(train.where("fold <> 4"))
+    if not pairs:
         share = train.agg(F.avg("y")).first()[0]
         scored = rows.select("doc_id", F.lit(0.5 if share is None else share).alias("score"))
     else:
-        binned = train.where("fold = 4").select(F.col("y"), "text").mapInArrow(_raw(toxic, ordinary), "key double, raw int").groupBy("raw").agg(F.count("*").alias("n"), F.sum("key").alias("ones")).collect()
+        sent = spark.sparkContext.broadcast(pairs)
+        binned = train.where("fold = 4").select("y", "text").mapInArrow(_raw(sent), "key double, raw int").groupBy("raw").agg(F.count("*").alias("n"), F.sum("key").alias("ones")).collect()
         share = sum(r.ones for r in binned) / max(1, sum(r.n for r in binned))
         seen, fitted = levels({r.raw: r.n for r in binned}, {r.raw: r.ones for r in binned}, share) if binned else ([], [])
-        kind = docs.schema[id_col].dataType.simpleString()
-        raw = rows.mapInArrow(_raw(toxic, ordinary), f"key {kind}, raw int")
+        raw = rows.mapInArrow(_raw(sent), extended(rows.select(F.col("doc_id").alias("key")), ("raw", "int")))
         scored = raw.select(F.col("key").alias("doc_id"), probability(F.col("raw"), seen, fitted).alias("score"))
     return scored.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
