@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -9,31 +10,69 @@ from thornmill.llm import mixing, quality_rules, toxicity
 
 
 # --- 7: toxicity
-def test_a_strong_window_adds_all_its_bytes():
-    toxic = toxicity.units("qwzxkvjb")
-    distance = toxicity.Distance(toxic, toxicity.units("ordinary"))
-    assert distance["qwzxkvjb"] > 30 and distance.raw("qwzxkvjb ordinary") == distance["qwzxkvjb"]
+def _labelled(n):
+    """Ordinary prose of made-up words; every other document also has words of a small toxic vocabulary."""
+    rng = np.random.default_rng(3)
+    common = ["".join(rng.choice(list("aeioubcdfglmnprst"), int(k))) for k in rng.integers(2, 9, 400)]
+    toxic = ["qwzxkvjbard", "vilezzkwump", "grobzixqual", "hakkwyvorst"]
+    share = 1 / np.arange(1, 401)
+    for i in range(n):
+        found = list(rng.choice(common, 60, p=share / share.sum()))
+        if i % 2:
+            for _ in range(3):
+                found.insert(int(rng.integers(len(found))), toxic[int(rng.integers(4))])
+        yield i, " ".join(found), i % 2
 
 
-def test_the_whole_dictionary_is_looked_up():
-    spell, listed = toxicity.Speller(), [f"u{k}" for k in range(toxicity.ORDINARY_UNITS + toxicity.TOXIC_UNITS)]
-    compressor = toxicity._compressor(listed, spell)
-    sizes = [len(compressor.compress(b"".join([spell[u] for u in listed[k : k + 6]]))) for k in range(0, len(listed), 6)]
-    assert np.mean(np.array(sizes) < 30) > 0.99
+def test_trained_dictionaries_tell_toxic_windows(spark):
+    rows = list(_labelled(600))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(None, None), (1000, ""), (1001, rows[1][1]), (1001, rows[1][1])], "doc_id long, text string")
+    got = toxicity.score(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")).toPandas()
+    assert len(got) == 604 and got.score.between(0, 1).all() and got.held_out.dtype == bool
+    by = got[got.doc_id < 600].set_index("doc_id")
+    held = by[by.held_out]
+    assert (held.predicted == held.index.astype(int) % 2).mean() > 0.95
+    assert got[got.doc_id == 1001].predicted.tolist() == [1, 1] and got[got.doc_id == 1000].predicted.tolist() == [0]
+    assert not got[got.doc_id.isna()].held_out.any()
+
+
+def test_dictionaries_are_trained_apart(spark):
+    rows = spark.createDataFrame([(t, float(y)) for _, t, y in _labelled(600)], "text string, y double")
+    (ordinary, toxic), *_ = pairs = toxicity.dictionaries(rows)
+    assert len(pairs) == len(toxicity.PAIRS) and all(zstandard.ZstdCompressionDict(d).dict_id() for pair in pairs for d in pair)
+    spelled = toxicity.Speller().words[b"qwzxkvjbard"]
+    runs = [spelled[k : k + 24] for k in range(0, len(spelled) - 23, 8)]
+    assert any(r in toxic for r in runs) and not any(r in ordinary for r in runs)
+
+
+def test_windows_run_over_the_whole_text(monkeypatch):
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(300)]
+    spell = toxicity.Speller()
+    a, b = (zstandard.train_dictionary(4_096, [spell.words[w.encode()] for w in some * 30], k=64, d=8).as_bytes() for some in (words[:150], words[150:]))
+    distance = toxicity.Distance([(a, b)])
+    text = " ".join(words[k] for k in rng.integers(0, 300, 900))
+    whole = distance.raw(text)
+    pairs = set(zip(text.encode().split(), text.encode().split()[1:], strict=False))
+    assert whole == sum(sorted(distance.differences(list(pairs)))[-toxicity.TOP :])
+    monkeypatch.setattr(toxicity, "BLOCK", 7)
+    monkeypatch.setattr(toxicity, "REMEMBERED", 10)
+    assert toxicity.Distance([(a, b)]).raw(text) == whole
+    assert distance.raw("x" * 1_000_000) > toxicity.NOTHING and distance.raw(" ") == distance.raw(None) == toxicity.NOTHING
 
 
 def test_levels_hold_up_to_the_next(spark):
     raw = spark.createDataFrame([(0,), (4,), (5,), (39,), (500,)], "raw int")
     at = lambda *of: [r.p for r in raw.select(toxicity.probability(F.col("raw"), *of).alias("p")).collect()]
     assert at([2, 5, 40], [0.1, 0.2, 0.9]) == [0.1, 0.1, 0.2, 0.2, 0.9]
-    assert at([], []) == pytest.approx([0.0, 4 / 14, 1 / 3, 39 / 49, 500 / 510])
+    assert at([], []) == pytest.approx([1 / (1 + np.exp((toxicity.EVEN - r) / 10)) for r in (0, 4, 5, 39, 500)])
 
 
 # --- 6 in the pipeline
 def test_mix_stage_deals_shards(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    got, dealt = corpus_pipeline.mix(spark, docs, d), mixing.mixed(docs, ordered=True)
+    got, dealt = corpus_pipeline.mix(spark, docs, d), mixing.mixed(docs, ordered=True, shard_col="shard")
     assert got.columns == docs.columns
     assert [r.doc_id for r in got.collect()] == [r.doc_id for r in dealt.collect()]
     assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in mixing.mixed(docs).collect())

@@ -11,8 +11,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: Bytes that end a word; the same six as bytes.split() without arguments uses.
@@ -70,6 +72,23 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
 
 
+#: Bits of the maps of members that the driver hands to the executors (2 MB), whatever the data.
+FILTER_BITS = 1 << 24
+
+
+def membership(rows: DataFrame, column: str) -> np.ndarray:
+    """A bitmap that holds every value of a column of 64-bit digests, made by the executors; others are in it by chance."""
+    slots = rows.selectExpr(f"{column} & {FILTER_BITS // 64 - 1} AS at", f"shiftleft(1L, cast(shiftright({column}, 40) & 63 AS int)) AS bit")
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    found = slots.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    words[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return words
+
+
+def present(words: np.ndarray, digest: int) -> int:
+    return int(words[digest & (FILTER_BITS // 64 - 1)]) >> ((digest >> 40) & 63) & 1
+
+
 #: What operators keep from task to task in a Python worker, and how to let go of it.
 HELD: dict[str, Callable[[], None]] = {}
 _INSIDE = [""]

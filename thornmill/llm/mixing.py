@@ -14,9 +14,10 @@ Only figures per source come to the driver (the names, sizes and quotas of what
 figures per document and per block stay distributed. All randomness is hashes and a seeded
 generator, so reruns agree.
 
-Defined results: null text has size 0; null is a source of its own, after all others;
+Defined results: an empty table gives no rows; texts of any length are counted whole; null text has size 0; null is a source of its own, after all others;
 sources without words have target 0; repeated rows share a block and are drawn
-together; null ids are kept; other columns pass through ``mixed`` untouched.
+together; null ids are kept; other columns pass through ``mixed`` untouched, whatever their names, and aren't
+read by ``mix``.
 """
 
 from __future__ import annotations
@@ -28,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, numbered
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
 BLOCKS = 4_096
-BROADCAST_ROWS = 500_000
+#: Rows of the tables of sources and blocks that may be broadcast (some 180 bytes each).
+BROADCAST_ROWS = 200_000
 #: A word: what bytes.split() would give.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -85,7 +87,8 @@ def _draw(plan: dict[int, tuple[float, int]], seed: int):
                 if 0 < size[k] <= left:
                     extra.append(k)
                     left -= size[k]
-            rest = [k for k in order if size[k] > left and k not in set(extra)] if left > 0 else []
+            drawn = set(extra)
+            rest = [k for k in order if size[k] > left and k not in drawn] if left > 0 else []
             if rest and size[best := min(rest, key=lambda k: size[k])] < 2 * left:  # one more comes nearer than one less
                 extra.append(best)
         places = [[] for _ in block]
@@ -120,7 +123,7 @@ def _blocks(docs: DataFrame, weights, shards: int, seed: int, id_col: str, text_
         sources = F.broadcast(sources)
     light = light.join(sources, light.source.eqNullSafe(sources.of)).withColumn("block", F.expr("cast(pmod(key, blocks) AS int)"))
     drawn = cut(
-        light.groupBy("source_id", "block").agg(F.sum("size").alias("size")).groupBy("source_id").applyInArrow(_draw({k: (goal[k], sizes[k]) for k in range(len(rows))}, seed), "source_id int, block int, places array<long>")
+        light.groupBy("source_id", "block").agg(F.sum("size").alias("size")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source_id").groupBy("source_id").applyInArrow(_draw({k: (goal[k], sizes[k]) for k in range(len(rows))}, seed), "source_id int, block int, places array<long>")
     )
     counts = {r.source_id: r.n for r in drawn.groupBy("source_id").agg(F.sum(F.size("places")).alias("n")).collect()}
     cuts = np.cumsum(split_tree([counts.get(k, 0) for k in range(len(rows))], shards, seed), axis=0) if rows else np.zeros((shards, 0), np.int64)
@@ -136,14 +139,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = 64, s
     return light.join(blocks, ["source_id", "block"]).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = 64, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ordered: bool = False) -> DataFrame:
-    """The rows that are drawn, as often as they're drawn, with all their columns; ordered: shard by shard, shuffled within, with the column ``shard``."""
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = 64, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ordered: bool = False, shard_col: str | None = None) -> DataFrame:
+    """The rows that are drawn, as often as they're drawn, with all their columns; ordered: shard by shard, shuffled within; shard_col: also with the shard's number, by that name."""
     _, sources, blocks = _blocks(docs, weights, shards, seed, id_col, text_col, source_col)
-    names = [f"__{k}" for k in range(len(docs.columns))]
-    kept = docs.withColumn("__key", F.xxhash64(F.lit(seed), id_col, text_col)).toDF(*names, "__key")
-    source = names[docs.columns.index(source_col)]
-    rows = kept.join(sources, F.col(source).eqNullSafe(F.col("of"))).withColumn("block", F.expr("cast(pmod(__key, blocks) AS int)")).join(blocks, ["source_id", "block"])
-    rows = rows.select(*names, "__key", F.posexplode("shards").alias("__copy", "__shard"))
+    id_c, text_c, source_c = (f"c{docs.columns.index(c)}" for c in (id_col, text_col, source_col))
+    kept = numbered(docs)
+    names = kept.columns
+    rows = kept.withColumn("key", F.xxhash64(F.lit(seed), id_c, text_c)).join(sources, F.col(source_c).eqNullSafe(F.col("of")))
+    rows = rows.withColumn("block", F.expr("cast(pmod(key, blocks) AS int)")).join(blocks, ["source_id", "block"])
+    rows = rows.select(*names, "key", F.posexplode("shards").alias("copy", "shard"))
     if ordered:
-        rows = rows.repartition(shards, "__shard").sortWithinPartitions("__shard", F.xxhash64("__shard", "__key", "__copy"))
-    return rows.select(*names, *(["__shard"] if ordered else [])).toDF(*docs.columns, *(["shard"] if ordered else []))
+        rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("shard", "key", "copy"))
+    return rows.select(*names, *(["shard"] if shard_col else [])).toDF(*docs.columns, *([shard_col] if shard_col else []))

@@ -7,7 +7,8 @@ Sets are arrays of sorted 64-bit shingle hashes. The join loses no link:
    the first n - ceil(n * percent / 100) + 1 elements in any order that holds for all sets.
    Here rare shingles come first, as a table of SLOTS counters over all documents
    tells (the order decides how much work there is, never the result). Sets with a common
-   prefix element form a group; equal groups are kept once. Within a group, sets are tied
+   prefix element and sizes within a factor of two (those near the upper end are in two such
+   bands, since what links may differ that much in size) form a group; equal groups are kept once. Within a group, sets are tied
    unless their sizes or their hashed bitmaps rule a link out: a bit is the parity of the elements
    that hash to it, so bits that differ can't be more than elements that differ. What ties
    connect is a cluster, and every link lies within a cluster.
@@ -37,13 +38,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces
+from .common import cut, membership, numbered, pieces, present
 from .graph import components
 
 TILE = 500
 #: Rows of a table that may be broadcast (about 16 bytes each).
 BROADCAST_ROWS = 500_000
-FILTER_BITS = 1 << 24
 #: Counters of the rarity table, the pieces in which it travels, and how many tasks' tables are added at a time.
 SLOT_BITS, CHUNKS, PARTS = 20, 64, 64
 #: Least and most bits of the signatures that travel with groups, and members of a group that meet in one task.
@@ -84,6 +84,13 @@ def prefix(hashes: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
     return np.partition(ordered, size - 1)[:size]
 
 
+def banded(keys: np.ndarray, size: int, percent: int) -> np.ndarray:
+    """The keys within the set's band of sizes (a power of two), and within the next one where a larger set may link."""
+    band = size.bit_length() - 1
+    bands = [band, band + 1] if 100 * size >= percent << band + 1 else [band]
+    return np.concatenate([_mix(keys + _U(b + 1) * _U(0x9E3779B97F4A7C15)) for b in bands])
+
+
 def signature(hashes: np.ndarray) -> bytes:
     """Parities of the elements that hash to each bit; about as many bits as elements, since fewer would be alike for any two large sets."""
     bits = MOST_BITS
@@ -97,7 +104,7 @@ def _count_slots(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(1 << SLOT_BITS, np.int64), set()
-        for batch in pieces(batches, most=4 << 20):
+        for batch in pieces(batches, most=4 << 20, operator="ngram_join"):
             for text in batch.column(0).to_pylist():
                 h = shingles(text, width)
                 if (sid := set_id(h)) not in seen:
@@ -132,7 +139,7 @@ def _sketch(width: int, percent: int, levels):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, seen = levels.value, set()
-        for batch in pieces(batches, most=4 << 20):
+        for batch in pieces(batches, most=4 << 20, operator="ngram_join"):
             sizes, sids, lists, sigs = [], [], [], []
             for text in batch.column(2).to_pylist():
                 h = shingles(text, width)
@@ -145,7 +152,7 @@ def _sketch(width: int, percent: int, levels):
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(sid)
-                lists.append(prefix(h, rank, percent).view(np.int64))
+                lists.append(banded(prefix(h, rank, percent), len(h), percent).view(np.int64))
                 sigs.append(signature(h))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
@@ -265,26 +272,17 @@ def _ties(percent: int):
     return run
 
 
-def _membership(members: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits that holds every member, made by the executors: its size doesn't depend on the data."""
-    slots = members.selectExpr(f"sid & {FILTER_BITS // 64 - 1} AS at", "shiftleft(1L, cast(shiftright(sid, 40) & 63 AS int)) AS bit")
-    words = np.zeros(FILTER_BITS // 64, np.int64)
-    found = slots.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
-    words[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return words
-
-
 def _member_sets(width: int, bitmap):
     """(sid, set) of the documents whose digest is in the bitmap; the few wrong ones go in the join that follows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = bitmap.value, set()
-        for batch in pieces(batches, most=4 << 20):
+        for batch in pieces(batches, most=4 << 20, operator="ngram_join"):
             sids, sets = [], []
             for text in batch.column(0).to_pylist():
                 h = shingles(text, width)
                 sid = set_id(h)
-                if sid in seen or not len(h) or not int(words[sid & (FILTER_BITS // 64 - 1)]) >> ((sid >> 40) & 63) & 1:
+                if sid in seen or not len(h) or not present(words, sid):
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
@@ -348,7 +346,7 @@ def _verify(percent: int):
             sids.clear(), sets.clear()
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-        for batch in pieces(batches, "set"):
+        for batch in pieces(batches, "set", operator="ngram_join"):
             for *key, sid, raw in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if key != tile:
                     if tile is not None:
@@ -422,7 +420,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     members = components(ties).select(F.col("node").alias("sid"), F.col("root").alias("cluster"))
     totals = members.groupBy("cluster").agg(F.count("*").alias("all"))
     members = cut(members.join(totals, "cluster"))
-    bitmap = spark.sparkContext.broadcast(_membership(members))
+    bitmap = spark.sparkContext.broadcast(membership(members, "sid"))
     sets = texts.select("text").mapInArrow(_member_sets(width, bitmap), "sid long, set binary")
     few = members.count() <= BROADCAST_ROWS
     stored = cut(sets.join(F.broadcast(members) if few else members, "sid").select("cluster", "all", "sid", "set"))
@@ -442,21 +440,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without all but one of each component: the one with the smallest id (null after all) stays.
 
-    Texts move only if more rows go than can be broadcast, or if rows are repeated as a whole.
+    Texts move only if more rows go than can be broadcast, or if rows are repeated as a whole. All columns stay,
+    whatever their names; texts without words all stay; an empty table stays empty. Rows are told apart by 64-bit hashes of id
+    and text.
     """
     found = cut(near_duplicates(docs, width, percent, id_col, text_col))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     first = cut(found.where("root IS NOT NULL").groupBy("root").agg(F.min(place).alias("first")).select("root", F.col("first.row").alias("stays")))
     goes = cut(found.join(first, "root").where("row <> stays").select("row").distinct())
     again = cut(found.where("root IS NOT NULL").groupBy("row").count().where("count > 1").select("row"))
-    rows = docs.withColumn("__row", F.xxhash64(id_col, text_col))
+    of = [f"c{docs.columns.index(c)}" for c in (id_col, text_col)]
+    rows = numbered(docs).withColumn("row", F.xxhash64(*of))
 
     def listed(df: DataFrame) -> DataFrame:
-        df = df.withColumnRenamed("row", "__row")
         return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-    rows = rows.join(listed(goes), "__row", "left_anti")
+    rows = rows.join(listed(goes), "row", "left_anti")
     if not again.isEmpty():
         twice = listed(again)
-        rows = rows.join(twice, "__row", "left_anti").unionByName(rows.join(twice, "__row", "left_semi").dropDuplicates(["__row"]))
-    return rows.select(*docs.columns)
+        rows = rows.join(twice, "row", "left_anti").unionByName(rows.join(twice, "row", "left_semi").dropDuplicates(["row"]))
+    return rows.drop("row").toDF(*docs.columns)

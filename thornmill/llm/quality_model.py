@@ -12,8 +12,8 @@ inputs of a score.
 
 Defined results: null text counts as empty and is scored from the same statistics; a document with
 several labels takes their mean, rounded up; labels that are null or without a document are not used; without labels of
-both kinds every score is the share of label 1 (0.5 without any); each row gives a row; an empty table gives
-no rows; other columns are not read.
+both kinds every score is the share of label 1 (0.5 without any); very long texts are read whole; each row gives a
+row (null ids are not held out); an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,16 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces
+from .common import cut, extended, pieces
 from .quality_rules import CLASSES, class_counts, duplicate_lines, repeated_words
 
 SIZE, RIDGE, WIDTH, SEED = 256, 0.3, 6.0, 11
 #: Bins of the scores from -1 to 2, and the weight of the prior in each block of the calibration.
 BINS, LOW, HIGH = 3_000, -1.0, 2.0
-#: Most partial sums of one key (4 MB each altogether).
+#: Tasks whose partial sums are added at a time (2 KB for each line of the equations).
 PARTS = 64
 THRESHOLD = 0.3
 
@@ -76,7 +77,7 @@ COUNT = len(CLASSES) + 17
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
+    for batch in pieces(batches, operator="quality_model"):
         found = [statistics(t) for t in batch.column(1).to_pylist()]
         flat = pa.array(np.array(found, np.float32).ravel() if found else np.empty(0, np.float32), pa.float32())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * COUNT, pa.int32()), flat)], ["doc_id", "f"])
@@ -108,7 +109,7 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _equations(features: Features):
-    """(fold, line, packed): lines of Z'Z and Z'y, side by side, over this task's rows of each fold."""
+    """(part, fold, line, packed): lines of Z'Z and Z'y, side by side, over this task's rows of each fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -120,14 +121,15 @@ def _equations(features: Features):
                 part = mine.T @ np.hstack([mine, y[fold == k, None]])
                 sums[int(k)] = sums[int(k)] + part if int(k) in sums else part
         rows = [(k, i, line.tobytes()) for k, a in sums.items() for i, line in enumerate(a)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["fold", "line", "packed"])
+        part = TaskContext.get().partitionId() // PARTS
+        yield pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int32()), *(pa.array([r[k] for r in rows], pa.int32()) for k in (0, 1)), pa.array([r[2] for r in rows], pa.binary())], ["part", "fold", "line", "packed"])
 
     return run
 
 
 def _added(table: pa.Table) -> pa.Table:
     total = np.sum([np.frombuffer(x, np.float64) for x in table.column("packed").to_pylist()], axis=0)
-    return pa.table({"fold": table.column("fold")[:1], "line": table.column("line")[:1], "packed": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({**{c: table.column(c)[:1] for c in ("part", "fold", "line")}, "packed": pa.array([total.tobytes()], pa.binary())})
 
 
 def isotonic(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -178,9 +180,9 @@ def training_labels(labels: DataFrame, label_col: str) -> DataFrame:
 
 def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of each row."""
-    spark = docs.sparkSession
-    stats = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_statistics, f"doc_id {docs.schema[id_col].dataType.simpleString()}, f array<float>"))
-    train = cut(stats.join(training_labels(labels, label_col), F.col("doc_id") == F.col("label_id")).select("fold", "y", "f")).coalesce(PARTS)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    stats = cut(rows.mapInArrow(_statistics, extended(rows.select("doc_id"), ("f", "array<float>"))))
+    train = cut(stats.join(training_labels(labels, label_col), F.col("doc_id") == F.col("label_id")).select("fold", "y", "f"))
     moments = {r["at"]: r for r in train.mapInArrow(_moments, "at int, n double, s double, ss double").groupBy("at").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")).collect()}
     n = moments[0]["n"] if moments else 0
     kinds = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -191,7 +193,9 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", thresh
         mean = np.array([moments[k]["s"] / n for k in range(COUNT)])
         spread = np.sqrt(np.maximum(0, [moments[k]["ss"] / n - mean[k] ** 2 for k in range(COUNT)]))
         features = Features(mean, np.where(spread > 1e-9, spread, 1.0))
-        sums = train.mapInArrow(_equations(features), "fold int, line int, packed binary").groupBy("fold", "line").applyInArrow(_added, "fold int, line int, packed binary").collect()
+        schema = "part int, fold int, line int, packed binary"
+        parts = train.mapInArrow(_equations(features), schema).groupBy("part", "fold", "line").applyInArrow(_added, schema)
+        sums = parts.groupBy("fold", "line").applyInArrow(_added, schema).collect()
         equations = {k: np.zeros((SIZE + 1, SIZE + 2)) for k in range(1, 5)}
         for r in sums:
             equations[r.fold][r.line] = np.frombuffer(r.packed, np.float64)
@@ -214,5 +218,5 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", thresh
         def calibrated(batch: pa.RecordBatch, z: np.ndarray) -> np.ndarray:
             return np.clip(np.interp(z @ final, knots, levels), 0.0, 1.0)
 
-        scored = stats.mapInArrow(_apply(features, calibrated, "score"), f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double")
+        scored = stats.mapInArrow(_apply(features, calibrated, "score"), extended(stats.select("doc_id"), ("score", "double")))
     return scored.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -10,7 +10,9 @@ characters or GUARD_WORDS words says nothing and passes.
 
 Defined results: null text counts as empty, which fails the base rule (fewer than 20 words);
 null and empty lang form languages of their own; a language without common words passes the
-word test; each row gives a row, with repeated or null ids kept; other columns are not read.
+word test, and one that a given reference lacks passes both; very long texts are judged whole; each row gives a
+row, with repeated or null ids kept; an empty table gives no rows; ``judge`` doesn't read other columns, ``keep``
+returns them untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, pieces
+from .common import SEPARATORS, extended, numbered, pieces
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -96,7 +98,7 @@ def _reference_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         kinds = (pa.string(), pa.string(), pa.binary(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else ([],) * 4, kinds, strict=True)], ["lang", "kind", "key", "n"])
 
-    for batch in pieces(batches):
+    for batch in pieces(batches, operator="quality_rules"):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             raw = (text or "").encode()
             classes[lang] += class_counts(raw)
@@ -143,47 +145,54 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, class_distance double, word_distance double, base_failed boolean, kept boolean"
 
 
-def _judge(reference: dict, width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "__text"):
-            at = batch.schema.get_field_index("__text")
-            rows = [[] for _ in range(9)]
-            for lang, text in zip(batch.column(at + 1).to_pylist(), batch.column(at).to_pylist(), strict=True):
-                raw = (text or "").encode()
-                words, classes = raw.split(), class_counts(raw)
-                n, chars = len(words), int(classes.sum())
-                gaps = len(raw) - len(raw.translate(None, SEPARATORS))
-                repeats = repeated_words(words)
-                base = n < MIN_WORDS or 100 * repeats > MAX_REPEATED * n
-                share, common, word_share = reference[lang]
-                by_class = by_word = None
-                if chars >= GUARD_CHARS:
-                    by_class = float(distance(classes / chars, share))
-                if n >= GUARD_WORDS and common:
-                    seen = np.zeros(len(common) + 1)
-                    for w, k in Counter(raw.lower().split()).items():
-                        seen[common.get(w, -1)] += k
-                    by_word = float(distance(seen / n, word_share))
-                kept = not base and (by_class is None or by_class <= MAX_CLASS_DISTANCE) and (by_word is None or by_word <= MAX_WORD_DISTANCE)
-                for out, value in zip(rows, (n, chars - gaps, int(classes[CLASSES.index("symbol")]), duplicate_lines(raw), repeats, by_class, by_word, base, kept), strict=True):
-                    out.append(value)
-            kinds = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.bool_()] * 2
-            names = [x.split()[0] for x in RESULT.split(", ")]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True))], [*batch.schema.names[:width], *(f"__{n}" if width > 1 else n for n in names)])
-
-    return run
+def _verdicts(reference: dict, texts: list[str | None], langs: list[str | None]) -> list[list]:
+    """The columns of RESULT."""
+    rows: list[list] = [[] for _ in range(9)]
+    for lang, text in zip(langs, texts, strict=True):
+        raw = (text or "").encode()
+        words, classes = raw.split(), class_counts(raw)
+        n, chars = len(words), int(classes.sum())
+        gaps = len(raw) - len(raw.translate(None, SEPARATORS))
+        repeats = repeated_words(words)
+        base = n < MIN_WORDS or 100 * repeats > MAX_REPEATED * n
+        share, common, word_share = reference.get(lang, (None, {}, None))
+        by_class = by_word = None
+        if chars >= GUARD_CHARS and share is not None:
+            by_class = float(distance(classes / chars, share))
+        if n >= GUARD_WORDS and common:
+            seen = np.zeros(len(common) + 1)
+            for w, k in Counter(raw.lower().split()).items():
+                seen[common.get(w, -1)] += k
+            by_word = float(distance(seen / n, word_share))
+        kept = not base and (by_class is None or by_class <= MAX_CLASS_DISTANCE) and (by_word is None or by_word <= MAX_WORD_DISTANCE)
+        for out, value in zip(rows, (n, chars - gaps, int(classes[CLASSES.index("symbol")]), duplicate_lines(raw), repeats, by_class, by_word, base, kept), strict=True):
+            out.append(value)
+    return rows
 
 
 def judge(docs: DataFrame, reference: dict | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, the counts, both distances (null below the guards), base_failed and kept of each row."""
     reference = references(docs, text_col, lang_col) if reference is None else reference
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang"))
-    return rows.mapInArrow(_judge(reference, 1), f"doc_id {docs.schema[id_col].dataType.simpleString()}, {RESULT}")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    result = [tuple(x.split()) for x in RESULT.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+        for batch in pieces(batches, operator="quality_rules"):
+            found = _verdicts(reference, batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(r, kinds[k]) for r, (_, k) in zip(found, result, strict=True))], ["doc_id", *(n for n, _ in result)])
+
+    return rows.mapInArrow(run, extended(rows.select("doc_id"), *result))
 
 
 def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows that are kept, with all their columns."""
-    reference, width = references(docs, text_col, lang_col), len(docs.columns)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"__{x}" for x in RESULT.split(", "))])
-    judged = docs.select("*", F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang")).mapInArrow(_judge(reference, width), schema)
-    return judged.where("__kept").select(*docs.columns)
+    reference, rows = references(docs, text_col, lang_col), numbered(docs)
+    text, lang = (f"c{docs.columns.index(c)}" for c in (text_col, lang_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text, operator="quality_rules"):
+            texts, langs = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (text, lang))
+            yield batch.filter(pa.array(_verdicts(reference, texts, langs)[-1], pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, mixing, ngram_join, quality_model, quality_rules, secrets, sharding, token_counts, toxicity, vp_search
-from .common import table
+from .common import shared_dir, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,10 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), "byte_bpe_50k.json", limit=512)
+    """A first call counts the texts of one half of all digests; the second, over all rows, finds these in the cache and encodes the rest."""
+    docs, cache = table(spark, sf_dir, "documents", "doc_id", "text"), shared_dir(spark)
+    token_counts.count_tokens(docs.where("substring(sha2(coalesce(text, ''), 256), 1, 1) < '8'"), "byte_bpe_50k.json", cache=cache)
+    return token_counts.count_tokens(docs, "byte_bpe_50k.json", cache=cache, limit=512)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

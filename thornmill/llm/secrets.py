@@ -13,8 +13,9 @@ do not travel: the candidates are joined to the documents by broadcast while the
 most BROADCAST_ROWS, and by a shuffle beyond that.
 
 Defined results: null text counts as empty (no span); repeated rows and null ids are kept,
-a result for each row; matches are leftmost and non-overlapping for each kind, and those that are
-too short are dropped after matching; other columns are not read by ``scan`` and kept by ``redact``.
+a result for each row; an empty table gives no rows; matches are leftmost and non-overlapping for each kind, and
+those that are too short are dropped after matching; very long texts are read whole; other columns
+are not read by ``scan`` and kept by ``redact``, whatever their names.
 """
 
 from __future__ import annotations
@@ -57,6 +58,8 @@ RULES = BASE + MORE
 SPELLINGS = 64
 #: Trigrams whose bits share a long.
 LOT = 60
+#: Spans whose lengths are added up at a time.
+BLOCK = 256
 
 # a query is a set of alternatives, each a set of trigrams that a match must all hold; None: no trigram is mandatory
 Query = frozenset | None
@@ -175,19 +178,46 @@ def _hits(rule: Rule, n: int) -> tuple[Column, Column]:
     return whole, F.when(look, F.regexp_extract_all("text", expression, F.lit(rule.group))).otherwise(none) if rule.group else whole
 
 
+def _before(values: Column, join) -> Column:
+    """For each of an array's numbers, ``join`` of all that stand before it (0 before the first); summed up block by block, so that long arrays don't cost the square of their length."""
+
+    def folded(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), join)
+
+    def bound(whole: Column, then) -> Column:  # an array is made once if it's the variable of a lambda
+        return F.transform(F.array(whole), then)[0]
+
+    def placed(x: Column) -> Column:
+        def at(_, i: Column) -> Column:
+            block = F.floor(i / BLOCK).cast("int")
+            return join(F.get(x["starts"], block), folded(F.slice(x["values"], block * BLOCK + 1, i % BLOCK)))
+
+        return F.transform(x["values"], at)
+
+    def spread(x: Column) -> Column:
+        starts = F.transform(x["blocks"], lambda _, b: folded(F.slice(x["blocks"], F.lit(1), b)))
+        return bound(F.struct(x["values"].alias("values"), starts.alias("starts")), placed)
+
+    def blocked(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: folded(F.slice(v, b * BLOCK + 1, F.lit(BLOCK))))
+        return bound(F.struct(v.alias("values"), blocks.alias("blocks")), spread)
+
+    return F.when(F.size(values) > 0, bound(values, blocked)).otherwise(F.array().cast("array<int>"))
+
+
 def _spans(rule: Rule, n: int) -> Column:
     """(start, rank, end) of the matches: gaps between them come from splitting the text by the same expression."""
     zipped = F.arrays_zip(F.split("text", rule.pattern, -1).alias("gap"), F.col(f"hit{n}").alias("hit"), F.col(f"part{n}").alias("part"))
+    sizes = F.transform(zipped, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.coalesce(F.length(x["hit"]), F.lit(0)).alias("hit"), F.coalesce(F.length(x["part"]), F.lit(-1)).alias("part")))
     nothing = F.array().cast("array<struct<start:int,rank:int,end:int>>")
 
-    def step(seen: Column, x: Column) -> Column:
-        start = seen["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        one = F.array(F.struct(start.alias("start"), F.lit(n).alias("rank"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(x["part"]) >= rule.least, F.concat(seen["out"], one)).otherwise(seen["out"]).alias("out"))
+    def placed(s: Column) -> Column:
+        before = _before(F.transform(s, lambda x: x["gap"] + x["hit"]), lambda a, b: a + b)
+        long = F.filter(F.arrays_zip(s.alias("x"), before.alias("before")), lambda z: z["x"]["part"] >= rule.least)
+        start = lambda z: z["before"] + z["x"]["gap"]
+        return F.transform(long, lambda z: F.struct(start(z).alias("start"), F.lit(n).alias("rank"), (start(z) + z["x"]["hit"]).alias("end")))
 
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), nothing.alias("out")), step, lambda seen: seen["out"])
-    return F.when(F.size(f"hit{n}") > 0, found).otherwise(nothing)
+    return F.when(F.size(f"hit{n}") > 0, F.transform(F.array(sizes), placed)[0]).otherwise(nothing)
 
 
 def spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -228,11 +258,18 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = MASK) -
     rest = [f"__{k}" for k, c in enumerate(names) if c not in ("doc_id", "text")]
     found = spans(docs.toDF(*(c if c in ("doc_id", "text") else f"__{k}" for k, c in enumerate(names))).withColumn("__was_null", F.col("text").isNull()), rules)
 
-    def step(seen: Column, s: Column) -> Column:
-        piece = F.when(s["start"] >= seen["at"], F.concat(F.col("text").substr(seen["at"] + 1, s["start"] - seen["at"]), F.lit(mask))).otherwise(F.lit(""))
-        return F.struct(F.greatest(seen["at"], s["end"]).alias("at"), F.concat(seen["out"], piece).alias("out"))
+    def masked(spans: Column) -> Column:
+        """What stands before each span and the mask, but for spans within others, then the rest of the text."""
+        covered = _before(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+
+        def piece(z: Column) -> Column:
+            free = z["s"]["start"] >= z["covered"]
+            return F.when(free, F.concat(F.col("text").substr(z["covered"] + 1, z["s"]["start"] - z["covered"]), F.lit(mask))).otherwise(F.lit(""))
+
+        pieces = F.transform(F.arrays_zip(spans.alias("s"), covered.alias("covered")), piece)
+        return F.concat(F.array_join(pieces, ""), F.col("text").substr(F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.length("text")))
 
-    clean = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda seen: F.concat(seen["out"], F.col("text").substr(seen["at"] + 1, F.length("text"))))
+    clean = F.transform(F.array("found"), masked)[0]
     text = F.when(F.col("__was_null"), F.lit(None)).when(F.size("found") > 0, clean).otherwise(F.col("text"))
     redacted = found.select("doc_id", text.alias("text"), (F.size("found") > 0).alias("__changed"), *rest)
     out = []

@@ -1,14 +1,14 @@
 """Sharding by extendible hashing, in DataFrame operations alone.
 
 The directory is indexed by the leading bits of a row's hash. Bytes are summed for each cell
-of the deepest level in one aggregation; summing the cells upwards tells, for each cell, the
-shortest prefix whose bytes fit: that is its bucket. So only buckets that are too large
-are split, one bit at a time, and a single pass settles DEPTH bits. Cells that are still too large
+of the deepest level in one aggregation; cells are then added up bit by bit, as long as any sum
+fits. A sum that fits while the one above it doesn't is a bucket: only buckets that are too large
+are split, one bit at a time, and a single pass settles all bits of a level. Cells that are still too large
 go through another pass on the next bits; after the bits of the content's hash come those
 of a hash of the row's place, which part rows that are equal in all they have.
 
 Defined results: null text has 0 bytes; a single row above the limit is a shard by itself,
-marked ``oversize``; null ids and repeated rows are kept, a shard for each row; an empty
+marked ``oversize``, however long its text; null ids and repeated rows are kept, a shard for each row; an empty
 table gives no rows; other columns are not read.
 """
 
@@ -40,19 +40,23 @@ def assign(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col
     while True:
         depth = min(MOST_BITS, 128 - settled, max(8, math.ceil(math.log2(max(2, total / limit))) + 4)) if settled == 0 else min(8, 128 - settled)
         prefix, cell = F.substring("bits", 1, settled), F.substring("bits", settled + 1, depth)
-        cells = left.groupBy(prefix.alias("prefix"), cell.alias("cell")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("n"))
-        cells = cut(cells)
-        levels = cells.select("prefix", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"), "cell", "bytes", "n").select("prefix", "level", F.expr("substring(cell, 1, level)").alias("start"), "bytes", "n")
-        buckets = levels.groupBy("prefix", "level", "start").agg(F.sum("bytes").alias("bucket_bytes"), F.sum("n").alias("bucket_rows"))
-        fits = buckets.where((F.col("bucket_bytes") <= limit) | (F.col("bucket_rows") == 1))
-        directory = (
-            cells.select("prefix", "cell", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"))
-            .withColumn("start", F.expr("substring(cell, 1, level)"))
-            .join(fits, ["prefix", "level", "start"])
-            .groupBy("prefix", "cell")
-            .agg(F.min(F.struct("level", "start", "bucket_bytes")).alias("b"))
-            .select("prefix", "cell", F.col("b.start").alias("start"), F.col("b.bucket_bytes").alias("shard_bytes"))
-        )
+        cells = cut(left.groupBy(prefix.alias("prefix"), cell.alias("cell")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("n")))
+        directory, below = None, cells.select("prefix", F.col("cell").alias("start"), "bytes", "n")
+        for level in range(depth, -1, -1):
+            fits = (F.col("bytes") <= limit) | (F.col("n") == 1)
+            below = below.withColumn("above", F.expr(f"substring(start, 1, {max(0, level - 1)})"))
+            above = cut(below.groupBy("prefix", "above").agg(F.sum("bytes").alias("all_bytes"), F.sum("n").alias("all_n"))) if level else None
+            if level:
+                kept = ~((F.col("all_bytes") <= limit) | (F.col("all_n") == 1))
+                buckets = below.where(fits).join(above.where(kept), ["prefix", "above"])
+            else:
+                buckets = below.where(fits)
+            buckets = buckets.select(F.col("prefix").alias("of"), "start", F.col("bytes").alias("shard_bytes"))
+            named = cells.join(buckets, (F.col("prefix") == F.col("of")) & (F.expr(f"substring(cell, 1, {level})") == F.col("start"))).select("prefix", "cell", "start", "shard_bytes")
+            directory = named if directory is None else directory.unionByName(named)
+            if not level or below.where(fits).isEmpty():
+                break
+            below = above.select("prefix", F.col("above").alias("start"), F.col("all_bytes").alias("bytes"), F.col("all_n").alias("n"))
         directory = cut(directory)
         small = settled + depth <= BROADCAST_BITS or directory.count() <= 1 << BROADCAST_BITS
         directory = directory.toDF("p", "c", "start", "shard_bytes")

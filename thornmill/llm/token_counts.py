@@ -3,9 +3,9 @@
 A count depends on a text and a tokenizer alone, so it is stored under the digests of both
 and never made twice: texts are looked up by their digest, only distinct misses are encoded,
 and their counts are appended to the cache, a Parquet table (digest, tokenizer, n_tokens).
-Only digests are shuffled for the lookup; the texts that are missing travel once, compressed,
-after each task has dropped the copies it has seen, so that a text with millions of copies
-is a few rows for the task that gets its digest.
+Only digests are shuffled for the lookup. What is missing is told to the tasks by a bitmap of
+fixed size, and those texts travel once, compressed, after each task has dropped the copies it has seen, so
+that a text with millions of copies is a few rows for the task that gets its digest.
 
 Normalised content is the text with null as the empty text; anything more could change counts.
 
@@ -16,7 +16,7 @@ repeated or null ids kept; an empty table gives no rows; other columns are not r
 from __future__ import annotations
 
 import hashlib
-import json
+import os
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -26,60 +26,30 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import _SPLIT, byte_letters, resolve
-from .common import pieces, shared_dir
+from .bpe import resolve
+from .common import HELD, cut, enter, membership, pieces, present, shared_dir
 
 #: Digests that a task remembers while it drops copies; older ones are forgotten, which costs a row and never a result.
 SEEN = 100_000
 SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
 
-def _fast(spec: dict, path: str) -> Callable[[str], int] | None:
-    """tiktoken gives the same ids several times faster where ids are in the order of the merges and words split as byte-level tokenizers split them."""
-    model, split = spec["model"], spec.get("pre_tokenizer") or {}
-    if model["type"] != "BPE" or spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or model.get("ignore_merges"):
-        return None
-    whole = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
-    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    if whole != sorted(whole) or any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized")):
-        return None
-    import tiktoken
-
-    byte_of = {c: b for b, c in byte_letters().items()}
-    ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in model["vocab"].items() if t not in special}
-    found = tiktoken.Encoding(path, pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens=special)
-    allowed = set(special)
-    return lambda text: len(found.encode(text, allowed_special=allowed, disallowed_special=()))
-
-
 @lru_cache(maxsize=4)
-def counter(path: str) -> Callable[[str], int]:
-    """text -> tokens, as the library for the file counts them: tokenizers for .json, sentencepiece for .model."""
+def counter(path: str) -> Callable[[list[str]], list[int]]:
+    """texts -> tokens of each, as the library for the file counts them: tokenizers for .json, sentencepiece for .model."""
+    HELD["token_counts"] = counter.cache_clear
     if path.endswith(".model"):
         import sentencepiece
 
-        pieces_ = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda text: len(pieces_.encode(text, num_threads=1))
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda texts: [len(model.encode(t, num_threads=1)) for t in texts]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
-    with open(path, encoding="utf-8") as file:
-        fast = _fast(json.load(file), path)
-
-    def slow(text: str) -> int:
-        return len(library.encode(text, add_special_tokens=False).ids)
-
-    def count(text: str) -> int:
-        if fast is None or len(text) > 1_000_000:  # so long a text may have a word that is too long for tiktoken's pattern
-            return slow(text)
-        try:
-            return fast(text)
-        except ValueError:
-            return slow(text)
-
-    return count
+    return lambda texts: [len(e) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def version(tokenizer: str) -> str:
@@ -88,35 +58,42 @@ def version(tokenizer: str) -> str:
         return hashlib.sha256(file.read()).hexdigest()
 
 
-def _first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """digest and compressed text, without the copies that this task has lately met."""
-    seen: OrderedDict[bytes, None] = OrderedDict()
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    for batch in pieces(batches):
-        digests, texts = [], []
-        for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if digest in seen:
-                seen.move_to_end(digest)
-                continue
-            seen[digest] = None
-            if len(seen) > SEEN:
-                seen.popitem(last=False)
-            digests.append(digest)
-            texts.append(squeeze(text.encode()))
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(texts, pa.binary())], ["digest", "packed"])
+def _first_copies(bitmap):
+    """digest and compressed text of what the bitmap holds (everything, if there is none), without the copies that this task has lately met."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: OrderedDict[bytes, None] = OrderedDict()
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in pieces(batches, operator="token_counts"):
+            digests, texts = [], []
+            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bitmap is not None and not present(bitmap.value, int.from_bytes(digest[:8], "big", signed=True)):
+                    continue
+                if digest in seen:
+                    seen.move_to_end(digest)
+                    continue
+                seen[digest] = None
+                if len(seen) > SEEN:
+                    seen.popitem(last=False)
+                digests.append(digest)
+                texts.append(squeeze(text.encode()))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(texts, pa.binary())], ["digest", "packed"])
+
+    return run
 
 
 def _encode_misses(tokenizer: str, tag: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("token_counts")
         count, unpack, last = counter(resolve(tokenizer)), zstandard.ZstdDecompressor().decompress, None
-        for batch in pieces(batches, "packed", 2 << 20):
-            digests, counts = [], []
+        for batch in pieces(batches, "packed", 2 << 20, "token_counts"):
+            digests, texts = [], []
             for digest, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if digest != last:  # copies from other tasks are neighbours here
                     last = digest
                     digests.append(digest)
-                    counts.append(count(unpack(packed).decode()))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([tag] * len(digests), pa.string()), pa.array(counts, pa.int64())], ["digest", "tokenizer", "n_tokens"])
+                    texts.append(unpack(packed).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([tag] * len(digests), pa.string()), pa.array(count(texts), pa.int64())], ["digest", "tokenizer", "n_tokens"])
 
     return run
 
@@ -140,23 +117,16 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", cache: s
     tag, path = version(tokenizer), cache or shared_dir(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
-    known = read_cache(spark, path, tag)
+    known, bitmap = read_cache(spark, path, tag), None
     if known is not None:
         known = known.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-        missing = rows.select("digest").distinct().join(known, "digest", "left_anti")
-        wanted = rows.join(missing, "digest", "left_semi")
-    else:
-        wanted = rows
+        missing = cut(rows.select("digest").distinct().join(known, "digest", "left_anti").select(F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("start")))
+        bitmap = spark.sparkContext.broadcast(membership(missing, "start"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (
-        wanted.select("digest", "text")
-        .mapInArrow(_first_copies, "digest binary, packed binary")
-        .repartition(n, "digest")
-        .sortWithinPartitions("digest")
-        .mapInArrow(_encode_misses(tokenizer, tag), SCHEMA)
-        .write.mode("append")
-        .parquet(path)
-    )
+    packed = rows.select("digest", "text").mapInArrow(_first_copies(bitmap), "digest binary, packed binary").repartition(n, "digest")
+    if known is not None:  # what the bitmap let through by chance
+        packed = packed.join(known.select("digest"), "digest", "left_anti")
+    packed.sortWithinPartitions("digest").mapInArrow(_encode_misses(tokenizer, tag), SCHEMA).write.mode("append").parquet(path)
     counts = read_cache(spark, path, tag)
     if known is not None:
         counts = counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
