@@ -25,7 +25,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix draws them, shard by shard and shuffled within."""
-    return mixing.mixed(docs, ordered=True).drop("shard")
+    return mixing.mixed(docs, ordered=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
