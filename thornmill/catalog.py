@@ -26,6 +26,7 @@ class ForeignKey:
     targets: tuple[str, ...]
     on_delete: str = "NO ACTION"
     on_update: str = "NO ACTION"
+    deferred: bool = False
 
 
 @dataclass(frozen=True)
@@ -42,6 +43,7 @@ class Table:
     fulltext: str | None = None  # the tokenizer
     sql: str = ""
     writes: int = 0  # since the rows were last written out
+    settled: bool = False  # the rows are read from files of our own
 
     @property
     def stored(self) -> list[Column]:
@@ -59,7 +61,7 @@ class Table:
         return [k for k in (self.key, *self.unique) if k]
 
     def with_rows(self, df: DataFrame) -> Table:
-        return replace(self, df=df, writes=self.writes + 1)
+        return replace(self, df=df, writes=self.writes + 1, settled=False)
 
 
 @dataclass(frozen=True)

@@ -94,6 +94,12 @@ def literal(sql: str) -> str:
 _TYPES = {"INTEGER": "bigint", "INT": "bigint", "BIGINT": "bigint", "REAL": "double", "FLOAT": "double", "DOUBLE": "double", "TEXT": "string", "VARCHAR": "string", "CHAR": "string", "BLOB": "binary", "NUMERIC": "double", "BOOLEAN": "boolean"}
 
 
+def _distinct(argument: str) -> tuple[str, str]:
+    """DISTINCT, if the argument begins with it, and the rest."""
+    word, _, rest = argument.partition(" ")
+    return ("DISTINCT ", rest) if word.upper() == "DISTINCT" else ("", argument)
+
+
 def _named(a: list[str]) -> str:
     return "to_json(named_struct(" + ", ".join(a) + "), map('ignoreNullFields', 'false'))"
 
@@ -127,9 +133,9 @@ FUNCTIONS = {
     "TRUNC": lambda a: f"(sign({a[0]}) * floor(abs({a[0]})))",
     "GLOB": lambda a: f"({a[1]} RLIKE '{glob_regex(literal(a[0])).replace(chr(92), chr(92) * 2)}')",
     "LIKE": lambda a: f"({a[1]} ILIKE {a[0]}" + (f" ESCAPE {a[2]})" if len(a) > 2 else ")"),
-    "TOTAL": lambda a: f"coalesce(sum(cast({a[0]} AS double)), 0.0D)",
-    "GROUP_CONCAT": lambda a: f"listagg(cast({a[0]} AS string), {a[1] if len(a) > 1 else chr(39) + ',' + chr(39)})",
-    "JSON_GROUP_ARRAY": lambda a: f"to_json(collect_list({a[0]}))",
+    "TOTAL": lambda a: "coalesce(sum({}cast({} AS double)), 0.0D)".format(*_distinct(a[0])),
+    "GROUP_CONCAT": lambda a: "listagg({}cast({} AS string), {})".format(*_distinct(a[0]), a[1] if len(a) > 1 else "','"),
+    "JSON_GROUP_ARRAY": lambda a: "coalesce(to_json(transform(collect_list({}named_struct('v', {})), s -> s.v)), '[]')".format(*_distinct(a[0])),
     "JSON_GROUP_OBJECT": lambda a: f"to_json(map_from_entries(collect_list(struct(cast({a[0]} AS string), {a[1]}))))",
     "JSON": lambda a: f"tm_json({a[0]})",
     "JSON_PRETTY": lambda a: f"tm_json_pretty({a[0]})",
@@ -151,14 +157,33 @@ def _mutate(name: str, a: list[str]) -> str:
     return f"{name}({a[0]}, array({', '.join(a[1::2])}), tm_json_list(array({', '.join(f'to_json(array({v}))' for v in a[2::2])})))"
 
 
+def _series(a: list[str]) -> str:
+    """start, stop (included) and step; one distributed range where they are numbers."""
+    start, stop, step = a[0], a[1] if len(a) > 1 else "9223372036854775806", a[2] if len(a) > 2 else "1"
+    if all(re.fullmatch(r"-? ?\d+", x) for x in (start, stop, step)):
+        first, last, by = (int(x.replace(" ", "")) for x in (start, stop, step))
+        return f"(SELECT id AS value FROM range({first}, {last + (1 if by > 0 else -1)}, {by}))"
+    whole = f"if(({stop} - {start}) * sign({step}) >= 0, sequence(CAST({start} AS bigint), CAST({stop} AS bigint), CAST({step} AS bigint)), array())"
+    return f"inline(transform({whole}, x -> named_struct('value', x)))"
+
+
+def _elements(name: str):
+    return lambda a: f"inline({name}({a[0] if len(a) == 1 else f'get_json_object({a[0]}, {a[1]})'}))"
+
+
+#: Functions that give rows, in FROM.
+TABLE_FUNCTIONS = {"GENERATE_SERIES": _series, "JSON_EACH": _elements("tm_json_each"), "JSON_TREE": _elements("tm_json_tree")}
+COLLATIONS = {"NOCASE": "UTF8_LCASE", "BINARY": "UTF8_BINARY", "RTRIM": "UTF8_BINARY_RTRIM"}
+
 _BEFORE_OPERAND = {"SELECT", "WHERE", "AND", "OR", "NOT", "ON", "THEN", "ELSE", "WHEN", "CASE", "BY", "HAVING", "SET", "VALUES", "IN", "LIKE", "BETWEEN", "DISTINCT", "AS", "FROM", "JOIN", "UNION", "ALL", "EXCEPT", "INTERSECT", "LIMIT", "OFFSET", "IS"}
 
 
 class Rewriter:
     """One pass over the tokens of a statement or a part of it."""
 
-    def __init__(self, tokens: list[Token], literals: dict[str, str] | None = None) -> None:
+    def __init__(self, tokens: list[Token], literals: dict[str, str] | None = None, collations: dict[str, str] | None = None) -> None:
         self.tokens, self.at, self.literals = tokens, 0, {k.upper(): v for k, v in (literals or {}).items()}
+        self.collations = collations or {}
 
     def peek(self, ahead: int = 0) -> Token:
         return self.tokens[self.at + ahead] if self.at + ahead < len(self.tokens) else Token("end", "")
@@ -181,7 +206,7 @@ class Rewriter:
             now.append(t)
         if now or parts:
             parts.append(now)
-        return [Rewriter(p, self.literals).run() for p in parts]
+        return [Rewriter(p, self.literals, self.collations).run() for p in parts]
 
     def operand(self) -> str:
         """The next literal, name, parameter, call or parenthesis."""
@@ -219,6 +244,20 @@ class Rewriter:
                 self.at += 1
                 start = len(out)
                 out.append(self.call(t, self.arguments()))
+            elif t.kind == "word" and up in TABLE_FUNCTIONS and nxt.text == "(" and out and (out[-1].upper() in ("FROM", "JOIN", ",")):
+                self.at += 1
+                made = TABLE_FUNCTIONS[up](self.arguments())
+                start = len(out)
+                out.append(made if out[-1].upper() == "FROM" or made.startswith("(") else f"LATERAL {made}")
+                if self.peek().upper != "AS" and self.peek().kind != "word" and made.startswith("("):
+                    out.append(f"AS {t.text}")
+            elif up == "COLLATE":
+                self.at += 1
+                name = name_of(nxt).upper()
+                if name in self.collations:
+                    out[start:] = [f"{self.collations[name]}({_joined(out[start:])})"]
+                else:
+                    out += ["COLLATE", COLLATIONS.get(name, name)]
             elif up == "==":
                 out.append("=")
             elif up == "LIKE":
@@ -292,7 +331,7 @@ class Rewriter:
                 break
             inner.append(t)
         at = max(k for k, t in enumerate(inner) if t.upper == "AS")
-        x = Rewriter(inner[:at], self.literals).run()
+        x = Rewriter(inner[:at], self.literals, self.collations).run()
         kind = _TYPES.get(inner[at + 1].upper, "")
         if kind == "bigint":
             return integer_sql(x)
@@ -308,6 +347,6 @@ def _joined(parts: list[str]) -> str:
     return out
 
 
-def rewrite(sql: str | list[Token], literals: dict[str, str] | None = None) -> str:
-    """Spark's spelling of a query or an expression. ``literals``: calls that stand for a value of the engine, such as CHANGES()."""
-    return Rewriter(tokenize(sql) if isinstance(sql, str) else sql, literals).run()
+def rewrite(sql: str | list[Token], literals: dict[str, str] | None = None, collations: dict[str, str] | None = None) -> str:
+    """Spark's spelling of a query or an expression. literals: calls that stand for a value of the engine, such as CHANGES(); collations: functions that make a text's sort key, by the collation's name."""
+    return Rewriter(tokenize(sql) if isinstance(sql, str) else sql, literals, collations).run()

@@ -9,6 +9,7 @@ written to the shared folder, which ends their lineage.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
 import re
@@ -17,14 +18,17 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .catalog import Column, ForeignKey, Index, Snapshot, Table, Trigger
 from .dialect import Token, name_of, rewrite, statements, tokenize
 from .errors import ConstraintError, EngineError, SyntaxProblem, TransactionError
+from .frames import rewrite_windows
 from .functions import jsontext
 from .operators import fulltext
+from .sources.tables import register_elements
 
 MOST_WRITES = 8
 #: Spark's type for a declared name, by what the name holds; the first that fits.
@@ -114,12 +118,26 @@ def split(tokens: list[Token]) -> list[list[Token]]:
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; only a single machine may do without that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("THORNMILL_SHARED")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise EngineError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.environ["THORNMILL_SHARED"] = "file://" + tempfile.mkdtemp(prefix="thornmill-")
     return f"{base.rstrip('/')}/engine/{uuid.uuid4().hex}"
 
 
+class _Stopped(Exception):
+    """A statement that ended at a row, and what its changes so far are."""
+
+    def __init__(self, reason: Exception) -> None:
+        self.reason = reason
+
+
+class _Repeated(Exception):
+    """A row would be changed by several rows of the source."""
+
+
 class Engine:
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark.newSession()
@@ -129,7 +147,9 @@ class Engine:
         self.saved: list[tuple[str, Snapshot]] = []
         self.changed = self.changes_total = self.last_id = 0
         self.settings = {"user_version": 0, "application_id": 0, "foreign_keys": 1}
+        self.collations: dict[str, str] = {}
         jsontext.register(self.spark)
+        register_elements(self.spark)
         self.spark.sql("CREATE TEMPORARY FUNCTION tm_json_list(parts ARRAY<STRING>) RETURNS STRING RETURN concat('[', array_join(transform(parts, p -> substring(p, 2, length(p) - 2)), ','), ']')")
         self.spark.sql("CREATE TEMPORARY FUNCTION tm_json_list1(part STRING) RETURNS STRING RETURN substring(part, 2, length(part) - 2)")
         self.depth = 0
@@ -171,6 +191,12 @@ class Engine:
         exec(f"def aggregate({names}) -> float:\n    return run({', '.join(f'c{k}' for k in range(nargs))})", scope)
         self.spark.udf.register(name, F.pandas_udf(scope["aggregate"], returns))
 
+    def create_collation(self, name: str, key) -> None:
+        """An order of texts: ``x COLLATE name`` stands for key(x), a Python function that gives the text to compare by."""
+        function = f"tm_collation_{name.lower()}"
+        self.spark.udf.register(function, F.udf(lambda x: None if x is None else key(x), "string", useArrow=True))
+        self.collations[name.upper()] = function
+
     def create_table_function(self, name: str, function, returns: str) -> None:
         """A generator of rows as a function to be used in FROM."""
 
@@ -211,9 +237,10 @@ class Engine:
         if t.writes >= MOST_WRITES:
             path = shared_folder(self.spark)
             t.df.write.parquet(path)
-            t = replace(t, df=self.spark.read.schema(t.df.schema).parquet(path), writes=0)
+            t = replace(t, df=self.spark.read.schema(t.df.schema).parquet(path), writes=0, settled=True)
         self.now.tables[t.name.lower()] = t
         self._publish(t)
+        self._publish_views()
 
     def _publish(self, t: Table) -> None:
         df = t.df
@@ -228,14 +255,19 @@ class Engine:
         self.now = snapshot
         for t in snapshot.tables.values():
             self._publish(t)
-        for name, query in snapshot.views.items():
-            self.spark.sql(query).createOrReplaceTempView(name)
+        self._publish_views()
+
+    def _publish_views(self) -> None:
+        """Views are their texts, read anew whenever a table below them has changed."""
+        for name, query in self.now.views.items():
+            with contextlib.suppress(AnalysisException):  # a table or column below it is gone
+                self.spark.sql(query).createOrReplaceTempView(name)
 
     def _literals(self) -> dict[str, str]:
         return {"CHANGES": f"{self.changed}L", "TOTAL_CHANGES": f"{self.changes_total}L", "LAST_INSERT_ROWID": f"{self.last_id}L"}
 
     def text(self, tokens: list[Token]) -> str:
-        return rewrite(tokens, self._literals())
+        return rewrite(tokens, self._literals(), self.collations)
 
     def _sql(self, text: str, args: dict | None = None) -> DataFrame:
         used = {k: v for k, v in (args or {}).items() if f":{k}" in text}
@@ -272,7 +304,17 @@ class Engine:
                     for name, query in self._ctes(tokens[1:k]):
                         self._sql(self.text(query), args).createOrReplaceTempView(name)
                     return self._change(_Reader(tokens[k:]), args)
-        return self._sql(self.text(self._matches(tokens)), args)
+        return self._sql(self.text(rewrite_windows(self._row_ids(self._matches(tokens)))), args)
+
+    def _row_ids(self, tokens: list[Token]) -> list[Token]:
+        """rowid, _rowid_ and oid are the integer key of the one table that has such a key, or a full-text table's docid."""
+        if not any(t.upper in ("ROWID", "_ROWID_", "OID") for t in tokens):
+            return tokens
+        used = {t.name.lower(): t for x in tokens if x.kind in ("word", "quoted") and (t := self.now.tables.get(name_of(x).lower()))}
+        keys = {"docid" if t.fulltext else t.integer_key for t in used.values()} - {None}
+        if len(keys) != 1:
+            return tokens
+        return [Token("quoted", f"`{next(iter(keys))}`") if t.upper in ("ROWID", "_ROWID_", "OID") else t for t in tokens]
 
     def _ctes(self, tokens: list[Token]) -> Iterator[tuple[str, list[Token]]]:
         for part in split(tokens):
@@ -334,6 +376,11 @@ class Engine:
     def _commit(self, r: _Reader) -> None:
         if not self.saved:
             raise TransactionError("no transaction is open")
+        if self.settings.get("foreign_keys", 1):
+            for t in self.now.tables.values():
+                for f in t.foreign:
+                    if f.deferred and not self._orphans(t, f, t.df).isEmpty():
+                        raise ConstraintError("FOREIGN KEY", f"{t.name}({', '.join(f.columns)}) refers to no row of {f.table}")
         self.saved.clear()
 
     def _rollback(self, r: _Reader) -> None:
@@ -469,16 +516,18 @@ class Engine:
 
     def _references(self, p: _Reader, columns: tuple[str, ...]) -> ForeignKey:
         p.need("REFERENCES")
-        table, targets, actions = p.name(), (), {"DELETE": "NO ACTION", "UPDATE": "NO ACTION"}
+        table, targets, actions, deferred = p.name(), (), {"DELETE": "NO ACTION", "UPDATE": "NO ACTION"}, False
         if p.peek() == "(":
             targets = p.names()
         while p.peek():
             if p.word("ON"):
                 event = p.take().upper
                 actions[event] = next(a for a in ("CASCADE", "SET NULL", "SET DEFAULT", "RESTRICT", "NO ACTION") if p.word(*a.split()))
-            elif not (p.word("DEFERRABLE") or p.word("NOT", "DEFERRABLE") or p.word("INITIALLY", "DEFERRED") or p.word("INITIALLY", "IMMEDIATE")):
+            elif p.word("INITIALLY", "DEFERRED"):
+                deferred = True
+            elif not (p.word("DEFERRABLE") or p.word("NOT", "DEFERRABLE") or p.word("INITIALLY", "IMMEDIATE")):
                 break
-        return ForeignKey(columns, table, targets, actions["DELETE"], actions["UPDATE"])
+        return ForeignKey(columns, table, targets, actions["DELETE"], actions["UPDATE"], deferred)
 
     def _create_virtual(self, r: _Reader) -> None:
         name = self._new_name(r)
@@ -516,7 +565,7 @@ class Engine:
             return
         names = r.names() if r.peek() == "(" else ()
         r.need("AS")
-        query = self.text(r.rest())
+        query = self.text(rewrite_windows(r.rest()))
         if names:
             query = f"SELECT * FROM ({query}) AS v({', '.join(f'`{n}`' for n in names)})"
         self.spark.sql(query).createOrReplaceTempView(name)
@@ -639,15 +688,20 @@ class Engine:
 
     def _change(self, r: _Reader, args: dict) -> DataFrame | None:
         """One INSERT, UPDATE or DELETE with its triggers and foreign keys; all of it or nothing."""
-        before = self.now.copy()
+        before, ups = self.now.copy(), [t.upper for t in r.tokens[:3]]
         try:
             self.depth += 1
             if self.depth > 32:
                 raise EngineError("triggers call each other too deeply")
             kind = r.peek()
             return self._insert(r, args) if kind in ("INSERT", "REPLACE") else self._update(r, args) if kind == "UPDATE" else self._delete(r, args)
-        except Exception:
+        except _Stopped as e:  # OR FAIL: what came before stays
+            raise e.reason from None
+        except Exception as e:
             self._restore(before)
+            if isinstance(e, ConstraintError) and self.depth == 1 and self.saved and "ROLLBACK" in ups[1:3]:
+                self._restore(self.saved[0][1])
+                self.saved.clear()
             raise
         finally:
             self.depth -= 1
@@ -673,7 +727,7 @@ class Engine:
         for c in t.columns:
             if c.generated:
                 rows = rows.withColumn(c.name, F.expr(c.generated).cast(c.kind))
-        return rows.select(*([F.col("docid")] if t.fulltext else []), *(F.col(f"`{c.name}`") for c in t.stored))
+        return rows.select(*([F.col("docid")] if t.fulltext else []), *(F.col(f"`{c.name}`") for c in t.stored), *(["__at"] if "__at" in rows.columns else []))
 
     def _insert(self, r: _Reader, args: dict) -> DataFrame | None:
         policy = "REPLACE" if r.take().upper == "REPLACE" else r.take().upper if r.word("OR") else "ABORT"
@@ -689,14 +743,17 @@ class Engine:
             given = self._sql(self.text(r.until("ON", "RETURNING") if r.peek() == "VALUES" else self._source(r)), args)
         if view:
             columns = self.spark.table(name).columns
-            return self._instead(name, "INSERT", given.toDF(*(targets or columns)), None)
+            return self._instead(name, "INSERT", given.toDF(*(targets or columns)))
         writable = [c.name for c in t.columns if not c.generated]
         targets = writable if targets is None else targets
         if len(given.columns) != len(targets):
             raise SyntaxProblem(f"{len(targets)} columns of {t.name} get {len(given.columns)} values")
-        rows = self._fill(t, given.toDF(*targets) if targets else given, targets)
-        rows = self._pin(rows)
-        self._fire("BEFORE", "INSERT", t, rows, None)
+        given = given.toDF(*targets) if targets else given
+        given = given.select(*(F.col(f"`{c}`").cast("string").alias(c) if kind == "void" else F.col(f"`{c}`") for c, kind in given.dtypes))
+        given = self._pin(given.withColumn("__at", F.monotonically_increasing_id()))  # __at: the statement's order
+        rows = self._fill(t, given, targets)
+        plain = rows.drop("__at")
+        self._fire("BEFORE", "INSERT", t, plain, None)
         t = self.table(name)
         conflict, action, guard = (), None, None
         if r.word("ON", "CONFLICT"):
@@ -705,35 +762,34 @@ class Engine:
                 r.until("DO")
             r.need("DO")
             if r.word("NOTHING"):
-                policy = "IGNORE"
+                policy = "NOTHING"
             else:
                 r.need("UPDATE", "SET")
                 action = self._assignments(r.until("WHERE", "RETURNING"))
                 guard = self.text(r.until("RETURNING")) if r.word("WHERE") else None
-        old, touched = t.df, rows
+        old, touched, failed = t.df, plain, None
         if action is not None:
             key = next((k for k in t.keys() if not conflict or {x.lower() for x in k} == {x.lower() for x in conflict}), None)
             if key is None:
                 raise EngineError("ON CONFLICT names no key of the table")
-            old, touched = self._upsert(t, rows, key, action, guard, alias, args)
-            new = old.unionByName(touched)
-        elif policy == "IGNORE":
+            old, touched = self._upserts(t, rows, key, action, guard, alias, args)
+        elif policy in ("IGNORE", "NOTHING"):
+            if policy == "IGNORE":
+                rows = rows.where(self._fine(t, rows))
             for key in t.keys():
-                touched = self._first(touched, key, last=False).join(old.select(*key), list(key), "left_anti").select(*touched.columns)
-            for c in t.columns:
-                if c.not_null:
-                    touched = touched.where(F.col(c.name).isNotNull())
-            touched = self._pin(touched)
-            new = old.unionByName(touched)
+                if policy == "IGNORE" or not conflict or {x.lower() for x in key} == {x.lower() for x in conflict}:
+                    rows = self._first(rows, key, last=False).join(old.select(*key), list(key), "left_anti").select(*rows.columns)
+            touched = self._pin(rows.drop("__at"))
         elif policy == "REPLACE":
             for key in t.keys():
-                touched = self._first(touched, key, last=True)
-                old = old.join(touched.select(*key), list(key), "left_anti").select(*old.columns)
-            new = old.unionByName(touched)
-        else:
-            new = old.unionByName(touched)
+                rows = self._first(rows, key, last=True)
+                old = old.join(rows.select(*key), list(key), "left_anti").select(*old.columns)
+            touched = rows.drop("__at")
+        elif policy == "FAIL" and (end := self._first_bad(t, rows, old)) is not None:
+            touched, failed = rows.where(F.col("__at") < end).drop("__at"), ConstraintError("CONSTRAINT", f"a row for {t.name} was refused; those before it stay")
+        new = old.unionByName(touched)
         made = t.with_rows(new)
-        self._check(made, new, touched)
+        self._check(made, new, touched, old)
         self._put(made)
         self._count(touched)
         if t.integer_key and (top := touched.agg(F.max(t.integer_key)).first()[0]) is not None:
@@ -741,8 +797,28 @@ class Engine:
         changed = self.changed
         self._fire("AFTER", "INSERT", t, touched, None)
         self.changed = changed
+        if failed is not None:
+            raise _Stopped(failed)
         return self._returning(r, t, touched, args)
 
+    def _fine(self, t: Table, rows: DataFrame) -> F.Column:
+        """Whether a row keeps NOT NULL and CHECK."""
+        test = F.lit(True)
+        for c in t.columns:
+            if c.not_null and c.name in rows.columns:
+                test = test & F.col(f"`{c.name}`").isNotNull()
+        for check in t.checks:
+            test = test & F.coalesce(F.expr(f"({check})").cast("boolean"), F.lit(True))
+        return test
+
+    def _first_bad(self, t: Table, rows: DataFrame, old: DataFrame) -> int | None:
+        """Where in the statement's order the first row comes that a constraint refuses."""
+        bad = rows.where(~self._fine(t, rows)).select("__at")
+        for key in t.keys():
+            later = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy("__at"))).where(F.col("__n") > 1).dropna(subset=list(key))
+            bad = bad.union(later.select("__at")).union(rows.join(old.select(*key), list(key), "left_semi").select("__at"))
+        return bad.agg(F.min("__at")).first()[0]
+
     def _source(self, r: _Reader) -> list[Token]:
         """The query of INSERT ... SELECT: up to ON CONFLICT or RETURNING."""
         out, depth = [], 0
@@ -777,23 +853,34 @@ class Engine:
             else:
                 value = F.expr(c.default).cast(c.kind) if c.default else F.lit(None).cast(c.kind)
             out.append(value.alias(c.name))
-        rows = given.select(*out) if out else given
+        rows = given.select(*out, "__at")
         key = "docid" if t.fulltext else t.integer_key
         if t.fulltext:
             rows = rows.withColumn("docid", F.lit(None).cast("bigint"))
         if key:
-            top = t.df.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
-            mine = F.row_number().over(Window.partitionBy(F.col(key).isNull()).orderBy(F.monotonically_increasing_id()))
-            given_top = 0 if key.lower() not in have else (given.agg(F.max(F.col(f"`{have[key.lower()]}`").cast("bigint"))).first()[0] or 0)
-            rows = rows.withColumn(key, F.when(F.col(key).isNull(), F.lit(max(top, given_top)) + mine).otherwise(F.col(key)).cast("bigint"))
+            rows = self._number(rows, key, t.df.agg(F.coalesce(F.max(key), F.lit(0))).first()[0])
         return self._generated(t, rows)
 
+    def _number(self, rows: DataFrame, key: str, top: int) -> DataFrame:
+        """Numbers for the rows without a key, in the statement's order: each part of the rows begins after those before it, so none waits for another."""
+        part = F.shiftright("__at", 33)
+        found = rows.groupBy(part.alias("part")).agg(F.count(F.when(F.col(key).isNull(), 1)).alias("n"), F.max(key).alias("top")).orderBy("part").collect()  # a row for each task that read the statement's rows
+        if not any(r.n for r in found):
+            return rows
+        top, starts = max([top, *(r.top for r in found if r.top is not None)]), []
+        for r in found:
+            starts.append((r.part, top))
+            top += r.n
+        offsets = F.broadcast(self.spark.createDataFrame(starts, "__part long, __start long"))
+        mine = F.count(F.when(F.col(key).isNull(), 1)).over(Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
+        placed = rows.withColumn("__part", part).join(offsets, "__part").withColumn(key, F.coalesce(F.col(key), F.col("__start") + mine).cast("bigint"))
+        return placed.select(*rows.columns)
+
     def _first(self, rows: DataFrame, key: tuple[str, ...], last: bool) -> DataFrame:
         """One row of each key, the first or the last as they came; rows with a null in the key all stay."""
-        rows = rows.withColumn("__at", F.monotonically_increasing_id())
         w = Window.partitionBy(*key).orderBy(F.desc("__at") if last else F.asc("__at"))
         null = functools.reduce(lambda a, b: a | b, (F.col(k).isNull() for k in key))
-        return rows.withColumn("__n", F.row_number().over(w)).where((F.col("__n") == 1) | null).drop("__n", "__at")
+        return rows.withColumn("__n", F.row_number().over(w)).where((F.col("__n") == 1) | null).drop("__n")
 
     def _assignments(self, tokens: list[Token]) -> dict[str, str]:
         out = {}
@@ -810,10 +897,34 @@ class Engine:
                 out[n.lower()] = self.text(p.rest())
         return out
 
-    def _upsert(self, t: Table, rows: DataFrame, key: tuple[str, ...], action: dict[str, str], guard: str | None, alias: str, args: dict) -> tuple[DataFrame, DataFrame]:
-        """(rows that stay, rows that are inserted or updated)."""
+    def _upserts(self, t: Table, rows: DataFrame, key: tuple[str, ...], action: dict[str, str], guard: str | None, alias: str, args: dict) -> tuple[DataFrame, DataFrame]:
+        """(rows that stay, rows that are inserted or updated). Rows of one key come one after another, a round for each place among them; where they only overwrite, the first and the last are enough."""
+        null = functools.reduce(lambda a, b: a | b, (F.col(k).isNull() for k in key))
+        w = Window.partitionBy(*key)
+        placed = self._pin(rows.withColumn("__n", F.when(null, 1).otherwise(F.row_number().over(w.orderBy("__at")))).withColumn("__of", F.when(null, 1).otherwise(F.count("*").over(w))))
+        most = placed.agg(F.max("__n")).first()[0] or 1
+        names = {c.name.lower() for c in t.columns}
+        free = [re.sub(r"(?i)\bexcluded\.`?\w+`?", "", re.sub(r"'[^']*'", "", v)) for v in action.values()]
+        overwrites = guard is None and not any(w_.lower() in names for v in free for w_ in re.findall(r"\w+", v))
+        rounds = [F.col("__n") == 1, (F.col("__n") == F.col("__of")) & (F.col("__n") > 1)] if overwrites else [F.col("__n") == k for k in range(1, most + 1)]
+        stay, done, now = t.df, None, t
+        for k, one in enumerate(rounds if most > 1 else rounds[:1]):
+            if k:  # what earlier rounds left is what this one meets
+                now = replace(t, df=self._pin(stay.unionByName(done)))
+            some = placed.where(one).select(*rows.drop("__at").columns)
+            left, hit = self._upsert(now, some, key, action, guard, alias, args)
+            if k:
+                before = done
+                done = self._pin(before.join(hit.select(*key), list(key), "left_anti").select(*before.columns).unionByName(hit))
+                stay = stay.join(done.select(*key), list(key), "left_anti").select(*stay.columns)
+            else:
+                stay, done = left, hit
+        return stay, done
+
+    def _upsert(self, t: Table, fresh: DataFrame, key: tuple[str, ...], action: dict[str, str], guard: str | None, alias: str, args: dict) -> tuple[DataFrame, DataFrame]:
+        """The same for rows of which no two have one key."""
         new, old = f"__new_{uuid.uuid4().hex[:8]}", f"__old_{uuid.uuid4().hex[:8]}"
-        fresh = self._first(rows, key, last=True)
+        rows = fresh
         fresh.toDF(*(f"__x_{c}" for c in fresh.columns)).createOrReplaceTempView(new)  # bare names mean the table's columns
         named = lambda text: re.sub(r"(?i)\bexcluded\.`?(\w+)`?", r"excluded.`__x_\1`", text)
         action, guard = {k: named(v) for k, v in action.items()}, guard and named(guard)
@@ -843,7 +954,8 @@ class Engine:
                 df = df.withColumn(c.name, F.expr(c.generated).cast(c.kind))
         return df
 
-    def _update(self, r: _Reader, args: dict) -> DataFrame | None:
+    def _update(self, r: _Reader, args: dict, once: bool = False) -> DataFrame | None:
+        """once: no row may meet several rows of the source."""
         r.take()
         policy = r.take().upper if r.word("OR") else "ABORT"
         name = r.name()
@@ -854,10 +966,9 @@ class Engine:
         where = self.text(r.until("RETURNING", "ORDER", "LIMIT")) if r.word("WHERE") else ""
         order = self.text(r.until("RETURNING")) if r.peek() in ("ORDER", "LIMIT") else ""
         if name.lower() in self.now.views:
-            old = self._sql(f"SELECT * FROM {name}" + (f" WHERE {where}" if where else ""), args)
             names = self.spark.table(name).columns
-            new = self._sql("SELECT " + ", ".join(f"{sets.get(c.lower(), f'`{c}`')} AS `{c}`" for c in names) + f" FROM {name}" + (f" WHERE {where}" if where else ""), args)
-            return self._instead(name, "UPDATE", new, old)
+            values = ", ".join(f"{sets.get(c.lower(), f'`{c}`')} AS `{c}`, `{c}` AS `__old_{c}`" for c in names)
+            return self._instead(name, "UPDATE", self._sql(f"SELECT {values} FROM {name}" + (f" WHERE {where}" if where else ""), args), pair=True)
         t = self._settle(self.table(name))
         view = f"__rows_{uuid.uuid4().hex[:8]}"
         self._numbered(t).createOrReplaceTempView(view)
@@ -866,7 +977,11 @@ class Engine:
         key = f"`{alias}`.docid, " if t.fulltext else ""
         changed = self._sql(f"SELECT `{alias}`.__rid, {key}{values}, {before} FROM {view} AS `{alias}`{source}" + (f" WHERE {where}" if where else ""), args)
         if source:
-            changed = changed.dropDuplicates(["__rid"])
+            changed = self._pin(changed)
+            single = changed.dropDuplicates(["__rid"])
+            if once and changed.count() != single.count():
+                raise _Repeated
+            changed = single
         if order:
             changed = changed.join(self._chosen(t, alias, where, order, args, source), "__rid", "left_semi")
         changed = self._pin(changed)
@@ -879,11 +994,25 @@ class Engine:
         event = (t, after, old, set(sets))
         self._fire("BEFORE", "UPDATE", t, after, old, set(sets), new)
         stay = self._numbered(t).join(changed.select("__rid"), "__rid", "left_anti").select(*t.df.columns)
+        if policy == "IGNORE":  # rows that a constraint refuses stay as they were
+            numbered = new.select("__rid", *t.df.columns)
+            kept = numbered.where(self._fine(t, numbered))
+            for k in t.keys():
+                first = kept.withColumn("__n", F.row_number().over(Window.partitionBy(*k).orderBy("__rid")))
+                others = self._numbered(t).join(kept.select(F.col("__rid").alias("__own"), *(F.col(f"`{c}`").alias(f"__k{n}") for n, c in enumerate(k))), functools.reduce(lambda a, b: a & b, (F.col(f"`{c}`") == F.col(f"__k{n}") for n, c in enumerate(k))) & (F.col("__rid") != F.col("__own"))).select(F.col("__own").alias("__rid"))
+                null = functools.reduce(lambda a, b: a | b, (F.col(f"`{c}`").isNull() for c in k))
+                kept = first.where((F.col("__n") == 1) | null).drop("__n").join(others, "__rid", "left_anti")
+            kept = self._pin(kept)
+            new = new.join(kept.select("__rid"), "__rid", "left_semi")
+            changed = changed.join(kept.select("__rid"), "__rid", "left_semi")
+            after, old = new.select(*t.df.columns), changed.select(*(F.col(f"`__old_{c.name}`").alias(c.name) for c in t.stored))
+            stay = self._numbered(t).join(kept.select("__rid"), "__rid", "left_anti").select(*t.df.columns)
+            event = (t, after, old, set(sets))
         if policy == "REPLACE":
             for k in t.keys():
                 stay = stay.join(after.select(*k), list(k), "left_anti").select(*t.df.columns)
         made = t.with_rows(stay.unionByName(after))
-        self._check(made, made.df, after)
+        self._check(made, made.df, after, stay)
         self._put(made)
         self._cascade_update(made, new)
         self._count(after)
@@ -893,21 +1022,27 @@ class Engine:
         return self._returning(r, t, after, args)
 
     def _settle(self, t: Table) -> Table:
-        """Rows are numbered by their place, so they must be read from one place."""
-        if t.writes and not t.df.isEmpty():
+        """Rows are numbered by their place, so they must be read from one place: files, ours or those that a plan only reads, filters and projects."""
+        if not t.settled and not self._in_place(t.df):
             self._put(replace(t, writes=MOST_WRITES))
         return self.table(t.name)
 
-    def _delete(self, r: _Reader, args: dict) -> DataFrame | None:
+    def _in_place(self, df: DataFrame) -> bool:
+        plan = df._jdf.queryExecution().optimizedPlan()
+        names = {m[1] for line in plan.toString().splitlines() if (m := re.match(r"[\s:+|-]*(\w+)", line))}
+        return plan.deterministic() and names <= {"Relation", "Project", "Filter", "LocalRelation", "LogicalRDD", "OneRowRelation"}
+
+    def _delete(self, r: _Reader, args: dict, source: str = "") -> DataFrame | None:
+        """source: a further table that the condition may name."""
         r.need("DELETE", "FROM")
         name = r.name()
         alias = r.name() if r.word("AS") else name
         where = self.text(r.until("RETURNING", "ORDER", "LIMIT")) if r.word("WHERE") else ""
         order = self.text(r.until("RETURNING")) if r.peek() in ("ORDER", "LIMIT") else ""
         if name.lower() in self.now.views:
-            return self._instead(name, "DELETE", None, self._sql(f"SELECT * FROM {name}" + (f" WHERE {where}" if where else ""), args))
+            return self._instead(name, "DELETE", old=self._sql(f"SELECT * FROM {name}" + (f" WHERE {where}" if where else ""), args))
         t = self._settle(self.table(name))
-        chosen = self._pin(self._chosen(t, alias, where, order, args))
+        chosen = self._pin(self._chosen(t, alias, where, order, args, f", {source}" if source else "").distinct())
         gone = self._pin(self._numbered(t).join(chosen, "__rid", "left_semi").select(*t.df.columns))
         self._fire("BEFORE", "DELETE", t, None, gone)
         self._put(t.with_rows(self._numbered(t).join(chosen, "__rid", "left_anti").select(*t.df.columns)))
@@ -920,8 +1055,8 @@ class Engine:
 
     # --- constraints
 
-    def _check(self, t: Table, rows: DataFrame, touched: DataFrame | None = None) -> None:
-        """rows: all of the table's; touched: those that are new, if it's known."""
+    def _check(self, t: Table, rows: DataFrame, touched: DataFrame | None = None, rest: DataFrame | None = None) -> None:
+        """rows: all of the table's; touched: those that are new, and rest, all others, if they're known."""
         some = rows if touched is None else touched
         for c in t.columns:
             if c.not_null and not some.where(F.col(f"`{c.name}`").isNull()).isEmpty():
@@ -933,10 +1068,16 @@ class Engine:
         for check in t.checks:
             if not self._all(replace(t, df=some)).where(f"NOT ({check})").isEmpty():
                 raise ConstraintError("CHECK", check)
-        self._check_unique(t, rows)
+        if rest is None:
+            self._check_unique(t, rows)
+        else:
+            self._check_unique(t, touched)
+            for key in t.keys():  # what is new against the rest; only keys travel
+                if not rest.select(*key).join(touched.select(*key), list(key), "left_semi").isEmpty():
+                    raise ConstraintError("UNIQUE", f"{t.name}({', '.join(key)})")
         if self.settings.get("foreign_keys", 1):
             for f in t.foreign:
-                if not self._orphans(t, f, some).isEmpty():
+                if not (f.deferred and self.saved) and not self._orphans(t, f, some).isEmpty():
                     raise ConstraintError("FOREIGN KEY", f"{t.name}({', '.join(f.columns)}) refers to no row of {f.table}")
 
     def _check_unique(self, t: Table, rows: DataFrame) -> None:
@@ -971,6 +1112,8 @@ class Engine:
             if hit.isEmpty():
                 continue
             stay = child.df.join(keys, on, "left_anti")
+            if f.on_delete == "NO ACTION" and f.deferred and self.saved:
+                continue
             if f.on_delete in ("RESTRICT", "NO ACTION"):
                 raise ConstraintError("FOREIGN KEY", f"rows of {child.name} refer to what is deleted from {parent.name}")
             if f.on_delete == "CASCADE":
@@ -998,6 +1141,8 @@ class Engine:
             if hit.isEmpty():
                 continue
             stay = child.df.join(keys, on, "left_anti")
+            if f.on_update == "NO ACTION" and f.deferred and self.saved:
+                continue
             if f.on_update in ("RESTRICT", "NO ACTION"):
                 raise ConstraintError("FOREIGN KEY", f"rows of {child.name} refer to what is changed in {parent.name}")
             if f.on_update == "CASCADE":
@@ -1064,24 +1209,48 @@ class Engine:
             elif not refers:
                 for _ in range(delta.count()):
                     self._statement(list(statement), {})
+            elif words[0] in ("UPDATE", "DELETE") and self._at_once(moved(statement), words[0], view):
+                continue
             else:  # each row in turn, since a later one may see what an earlier one did
                 for row in delta.toLocalIterator():
                     values = row.asDict()
                     filled = [y for x in moved(statement) for y in (tokenize(_sql_literal(values[x.text])) if x.kind == "word" and x.text in values else [x])]
                     self._statement(filled, {})
 
-    def _instead(self, view: str, event: str, new: DataFrame | None, old: DataFrame | None) -> None:
+    def _at_once(self, statement: list[Token], kind: str, view: str) -> bool:
+        """An UPDATE or DELETE for all rows that fired, as a join with them; not where one row would be changed twice, or where the statement has a source or an end of its own."""
+        ups = [t.upper for t in statement]
+        if {"FROM", "ORDER", "LIMIT", "RETURNING"} & set(ups[2:] if kind == "DELETE" else ups) - ({"FROM"} if kind == "DELETE" and ups.count("FROM") == 1 else set()):
+            return False
+        before = self.now.copy()
+        try:
+            if kind == "DELETE":
+                self.depth += 1
+                try:
+                    self._delete(_Reader(statement), {}, view)
+                finally:
+                    self.depth -= 1
+            else:
+                at = ups.index("WHERE") if "WHERE" in ups else len(ups)
+                self.depth += 1
+                try:
+                    self._update(_Reader([*statement[:at], Token("word", "FROM"), Token("word", view), *statement[at:]]), {}, once=True)
+                finally:
+                    self.depth -= 1
+        except (_Repeated, AnalysisException):
+            self._restore(before)
+            return False
+        return True
+
+    def _instead(self, view: str, event: str, new: DataFrame | None = None, old: DataFrame | None = None, pair: bool = False) -> None:
+        """pair: ``new`` also has the old values, as __old_*."""
         found = [t for t in self.now.triggers.values() if t.table == view.lower() and t.time == "INSTEAD OF" and t.event == event]
         if not found:
             raise EngineError(f"{view} is a view without a trigger INSTEAD OF {event}")
-        if new is not None and old is not None:
-            w = Window.orderBy(F.monotonically_increasing_id())
-            pair = new.withColumn("__n", F.row_number().over(w)).join(old.toDF(*(f"__old_{c}" for c in old.columns)).withColumn("__n", F.row_number().over(w)), "__n")
-            delta = self._delta(new, old, pair)
-        else:
-            delta = self._delta(new, old, None)
+        delta = self._pin(self._delta(new, old, new if pair else None))
+        self.changed = delta.count()
         for t in found:
-            self._run_trigger(t, self._pin(delta))
+            self._run_trigger(t, delta)
 
 
 def _sql_literal(value) -> str:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ELEMENT = "key string, value string, type string, atom string, id long, parent long, fullkey string, path string"
 
@@ -91,3 +92,10 @@ def json_rows(rows: DataFrame, column: str, deep: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(f, k) for f, k in zip(found, kinds, strict=True))], [*batch.schema.names, *names])
 
     return rows.mapInArrow(run, schema)
+
+
+def register_elements(spark: SparkSession) -> None:
+    """tm_json_each and tm_json_tree: the elements of a JSON text as an array of rows, for use in FROM. In Python, because a variant sorts an object's keys."""
+    kind = f"array<struct<{ELEMENT.replace(' ', ':').replace(',:', ',')}>>"
+    for name, deep in (("tm_json_each", False), ("tm_json_tree", True)):
+        spark.udf.register(name, F.udf(lambda text, deep=deep: list(elements(text, deep)), kind, useArrow=True))
