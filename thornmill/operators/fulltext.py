@@ -2,18 +2,22 @@
 
 Texts become token arrays (one per indexed column) by native expressions; a match expression
 becomes a condition on these arrays, so a search is one filter over the scan, without a
-shuffle. BM25 needs two figures of the whole corpus (documents and mean length) and a document
+shuffle. A text that lacks a word's letters anywhere needn't be split, so a cheap test goes first. BM25 needs
+two figures of the whole corpus (documents and mean length) and a document
 frequency for each term of the query: one small aggregation.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stemming import stem
+
 
 def tokens(column: Column | str, tokenizer: str = "unicode61") -> Column:
     """The array of a text's tokens, in order; null text has none."""
@@ -24,9 +28,28 @@ def tokens(column: Column | str, tokenizer: str = "unicode61") -> Column:
         return F.regexp_extract_all(text, F.lit("[a-z0-9_]+"), F.lit(0))
     if tokenizer == "trigram":
         return F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1))  # overlapping, in one pass
+    if tokenizer == "porter":
+        return _stems(tokens(column, "unicode61"))
     raise ValueError(f"no such tokenizer: {tokenizer}")
 
 
+def _stemmed(lists: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else [stem(w) for w in x] for x in lists.to_pylist()], pa.list_(pa.string()))
+
+
+def _stems(words: Column) -> Column:
+    """Stems of token arrays, by Arrow batches: the algorithm isn't one that expressions can state."""
+    return F.arrow_udf(_stemmed, "array<string>")(words)
+
+
+def _length(column: str, tokenizer: str) -> Column:
+    """How many tokens a text has, without making them."""
+    text = F.lower(F.coalesce(F.col(column), F.lit("")))
+    if tokenizer == "trigram":
+        return F.greatest(F.length(text) - 2, F.lit(0))
+    return F.regexp_count(text, F.lit("[a-z0-9_]+" if tokenizer == "ascii" else r"[\p{L}\p{N}_]+"))
+
+
 @dataclass(frozen=True)
 class Term:
     """Words that follow each other; the last may be a prefix; within a column, at the column's start."""
@@ -201,8 +224,47 @@ def condition(expression, arrays: dict[str, Column]) -> Column:
     return test
 
 
+def fitted(expression, tokenizer: str):
+    """The expression in the tokenizer's own words: stems, or trigrams that follow each other."""
+    if isinstance(expression, Both):
+        return replace(expression, left=fitted(expression.left, tokenizer), right=fitted(expression.right, tokenizer))
+    if isinstance(expression, Near):
+        return replace(expression, terms=tuple(fitted(t, tokenizer) for t in expression.terms))
+    if tokenizer == "porter":
+        return replace(expression, words=tuple(w if expression.prefix and k == len(expression.words) - 1 else stem(w) for k, w in enumerate(expression.words)))
+    if tokenizer == "trigram":
+        text = " ".join(expression.words)
+        return replace(expression, words=tuple(text[k : k + 3] for k in range(len(text) - 2)), prefix=False)
+    return expression
+
+
+def possible(expression, columns: list[str], tokenizer: str = "unicode61") -> Column:
+    """What every match passes: the letters of its words are somewhere in the text. (Of stems, all but the last two letters, which may have been changed.)"""
+    if isinstance(expression, Both):
+        left = possible(expression.left, columns, tokenizer)
+        if expression.how == "not":
+            return left
+        right = possible(expression.right, columns, tokenizer)
+        return left & right if expression.how == "and" else left | right
+    test = F.lit(True)
+    if isinstance(expression, Near):
+        for t in expression.terms:
+            test = test & possible(t, columns, tokenizer)
+        return test
+    chosen = [c for c in columns if expression.column in (None, c)]
+    for w in expression.words:
+        letters = w if tokenizer != "porter" else w[:-2] if len(w) > 4 else ""
+        if letters:
+            some = F.lit(False)
+            for c in chosen:
+                some = some | F.contains(F.lower(F.col(c)), F.lit(letters))
+            test = test & F.coalesce(some, F.lit(False))
+    return test
+
+
 def matches(query: str, columns: list[str], tokenizer: str = "unicode61") -> Column:
-    return condition(parse(query), {c: tokens(c, tokenizer) for c in columns})
+    expression = fitted(parse(query), tokenizer)
+    return possible(expression, columns, tokenizer) & condition(expression, {c: tokens(c, tokenizer) for c in columns})
 
 
 def _terms(expression) -> list[Term]:
@@ -211,30 +273,52 @@ def _terms(expression) -> list[Term]:
     return list(expression.terms) if isinstance(expression, Near) else [expression]
 
 
-def search(docs: DataFrame, query: str, columns: list[str], tokenizer: str = "unicode61", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The rows that match, with ``score``: BM25, larger for better matches."""
-    expression = parse(query)
+def search(docs: DataFrame, query: str, columns: list[str], tokenizer: str = "unicode61", k1: float = 1.2, b: float = 0.75, weights: list[float] | None = None, indexed: list[str] | None = None) -> DataFrame:
+    """The rows that match, with ``score``: BM25, larger for better matches. weights: how much a term counts in each of the indexed columns."""
+    expression = fitted(parse(query), tokenizer)
     terms = list(dict.fromkeys(_terms(expression)))
-    arrays = {c: F.col(f"__{c}") for c in columns}
-    rows = docs.select("*", *(tokens(c, tokenizer).alias(f"__{c}") for c in columns))
-    counts = []
-    for n, term in enumerate(terms):
-        chosen = [a for c, a in arrays.items() if term.column in (None, c)]
-        counts.append(sum((F.size(_at(a, term)) for a in chosen[1:]), F.size(_at(chosen[0], term))).alias(f"__tf{n}"))
-    size = sum((F.size(a) for a in list(arrays.values())[1:]), F.size(list(arrays.values())[0]))
-    rows = rows.select("*", size.alias("__size"), *counts)
-    corpus = rows.agg(F.count("*").alias("n"), F.avg("__size").alias("mean"), *(F.count(F.when(F.col(f"__tf{n}") > 0, 1)).alias(f"df{n}") for n in range(len(terms)))).first()
+    indexed = indexed or columns
+    weight = dict(zip(indexed, [*(weights or []), *[1.0] * len(indexed)], strict=False))
+
+    def counted(term: Term, arrays: dict[str, Column], by: dict[str, float]) -> Column:
+        total = F.lit(0.0)
+        for c, a in arrays.items():
+            if term.column in (None, c):
+                total = total + F.size(_at(a, term)) * by[c]
+        return total
+
+    any_term = F.lit(False)
+    for t in terms:
+        any_term = any_term | possible(t, columns, tokenizer)
+    size = sum((_length(c, tokenizer) for c in indexed[1:]), _length(indexed[0], tokenizer))
+    ones = dict.fromkeys(columns, 1.0)
+    rows = docs.where(any_term).select(*(tokens(c, tokenizer).alias(f"__t{k}") for k, c in enumerate(columns)))
+    arrays = {c: F.col(f"__t{k}") for k, c in enumerate(columns)}
+    corpus = docs.agg(F.count("*").alias("n"), F.avg(size).alias("mean")).first()
+    found = rows.agg(*(F.count(F.when(counted(t, arrays, ones) > 0, 1)).alias(f"df{n}") for n, t in enumerate(terms))).first()
+    rows = docs.where(possible(expression, columns, tokenizer)).select("*", *(tokens(c, tokenizer).alias(f"__t{k}") for k, c in enumerate(columns)), size.alias("__size"))
     score = F.lit(0.0)
-    for n in range(len(terms)):
-        df, tf = corpus[f"df{n}"], F.col(f"__tf{n}")
+    for n, t in enumerate(terms):
+        df, tf = found[f"df{n}"], counted(t, arrays, weight)
         idf = F.log(F.lit(1.0) + F.lit((corpus["n"] - df + 0.5) / (df + 0.5)))
         score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("__size") / F.lit(corpus["mean"] or 1.0)))
     return rows.where(condition(expression, arrays)).select(*docs.columns, score.alias("score"))
 
 
-def highlight(column: str, query: str, before: str = "[", after: str = "]") -> Column:
-    """The text with every term of the query between marks."""
+def _marked(words: tuple[str, ...], before: str, after: str):
+    def run(texts: pa.Array) -> pa.Array:
+        shown = lambda m: before + m[0] + after if stem(m[0].lower()) in words else m[0]
+        return pa.array([None if t is None else re.sub(r"[^\W]+", shown, t) for t in texts.to_pylist()], pa.string())
+
+    return run
+
+
+def highlight(column: str, query: str, before: str = "[", after: str = "]", tokenizer: str = "unicode61") -> Column:
+    """The text with every term of the query between marks; words of the same stem count as the term, if the tokenizer says so."""
     found = F.col(column)
+    if tokenizer == "porter":
+        stems = tuple({w for t in _terms(fitted(parse(query), tokenizer)) for w in t.words})
+        return F.arrow_udf(_marked(stems, before, after), "string")(found)
     words = sorted({(w, t.prefix and k == len(t.words) - 1) for t in _terms(parse(query)) for k, w in enumerate(t.words)})
     if not words:
         return found

@@ -330,33 +330,55 @@ class Engine:
         if not any(t.upper == "MATCH" for t in tokens):
             return tokens
         names = {t.name.lower(): t for t in self.now.tables.values() if t.fulltext}
-        used = next((names[t.text.lower()] for t in tokens if t.text.lower() in names), None)
+        used = next((names[name_of(t).lower()] for t in tokens if t.kind in ("word", "quoted") and name_of(t).lower() in names), None)
         if used is None:
             raise EngineError("MATCH needs a full-text table")
         columns, out, k = [c.name for c in used.columns], [], 0
         view = f"__match_{uuid.uuid4().hex[:8]}"
-        ranked = any(t.upper in ("BM25", "RANK") for t in tokens)
-        found = tokenize(f"(SELECT docid, {', '.join(f'`{c}`' for c in columns)}, score AS __score FROM {view}) AS {used.name}")
+        at = next(j for j, t in enumerate(tokens) if t.upper == "MATCH")
+        query = tokens[at + 1].text[1:-1].replace("''", "'")
+        chosen = [next(c for c in columns if c.lower() == name_of(tokens[at - 1]).lower())] if name_of(tokens[at - 1]).lower() in {c.lower() for c in columns} else columns
+        more: dict[str, F.Column] = {}
+        weights, ranked = None, False
+
+        def call(j: int) -> tuple[list[str], int]:
+            """Texts of the arguments of the call whose parenthesis opens at j, and where it ends."""
+            r = _Reader(tokens[j:])
+            parts = [" ".join(t.text for t in p) for p in split(r.group())]
+            return parts, j + r.at
+
+        text = lambda a: a[1:-1].replace("''", "'")
         while k < len(tokens):
-            t = tokens[k]
-            if k + 1 < len(tokens) and tokens[k + 1].upper == "MATCH":
-                query = tokens[k + 2].text[1:-1].replace("''", "'")
-                chosen = [t.text] if t.text.lower() in {c.lower() for c in columns} else columns
-                fulltext.search(used.df, query, chosen, used.fulltext).createOrReplaceTempView(view)
+            t, calls = tokens[k], k + 1 < len(tokens) and tokens[k + 1].text == "("
+            if k + 1 == at:
                 out += tokenize(f"{used.name}.docid IN (SELECT docid FROM {view})")
                 k += 3
-            elif t.upper == "BM25" and k + 1 < len(tokens) and tokens[k + 1].text == "(":
+            elif t.upper == "BM25" and calls:
+                parts, k = call(k + 1)
+                weights, ranked = [float(x.replace(" ", "")) for x in parts[1:]] or None, True
                 out += tokenize("(-__score)")
-                k += 4
-            elif t.upper == "RANK" and not (k + 1 < len(tokens) and tokens[k + 1].text == "("):
+            elif t.upper in ("HIGHLIGHT", "SNIPPET") and calls:
+                parts, k = call(k + 1)
+                column = columns[max(0, int(parts[1].replace(" ", "")))]
+                name, ranked = f"__shown{len(more)}", True
+                stems = used.fulltext if used.fulltext == "porter" else "unicode61"
+                if t.upper == "HIGHLIGHT":
+                    more[name] = fulltext.highlight(column, query, text(parts[2]), text(parts[3]), stems)
+                else:
+                    more[name] = fulltext.snippet(column, query, int(parts[5]) if len(parts) > 5 else 10, text(parts[2]), text(parts[3]), text(parts[4]))
+                out.append(Token("quoted", f"`{name}`"))
+            elif t.upper == "RANK" and not calls:
+                ranked = True
                 out += tokenize("(-__score)")
                 k += 1
-            elif ranked and k and tokens[k - 1].upper in ("FROM", "JOIN", ",") and t.text.lower() == used.name.lower():
-                out += found  # the rows that match, with their scores, in place of the table
-                k += 1
             else:
                 out.append(t)
                 k += 1
+        found = fulltext.search(used.df, query, chosen, used.fulltext, weights=weights, indexed=columns)
+        found.select("*", *(c.alias(n) for n, c in more.items())).createOrReplaceTempView(view)
+        if ranked:  # the rows that match, with their scores, in place of the table
+            shown = tokenize(f"(SELECT docid, {', '.join(f'`{c}`' for c in [*columns, *more])}, score AS __score FROM {view}) AS {used.name}")
+            out = [y for j, x in enumerate(out) for y in (shown if j and out[j - 1].upper in ("FROM", "JOIN") and name_of(x).lower() == used.name.lower() else [x])]
         return out
 
     def _nothing(self, r: _Reader) -> None:
