@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import time
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -10,16 +11,16 @@ from pyspark.sql import SparkSession
 
 from .errors import EngineError
 from .session import Engine
-from .sources.sinks import render
+from .sources.sinks import lines
 
 HELP = """.tables  .schema [T]  .indexes  .mode list|column|csv|json|box|markdown|insert  .headers on|off  .separator S
-.nullvalue S  .import FILE T (CSV)  .output [FILE]  .read FILE  .save DIR  .open DIR  .dump [T]  .changes on|off  .echo on|off  .show  .help  .quit"""
+.nullvalue S  .import FILE T (CSV)  .output [FILE]  .read FILE  .save DIR  .open DIR  .dump [T]  .changes on|off  .echo on|off  .timer on|off  .databases  .show  .help  .quit"""
 
 
 class Shell:
     def __init__(self, engine: Engine, out=sys.stdout) -> None:
         self.engine, self.out, self.screen = engine, out, out
-        self.mode, self.headers, self.separator, self.null, self.echo, self.changes = "list", False, "|", "", False, False
+        self.mode, self.headers, self.separator, self.null, self.echo, self.changes, self.timer = "list", False, "|", "", False, False, False
 
     def say(self, text: str) -> None:
         print(text, file=self.out)
@@ -41,10 +42,14 @@ class Shell:
     def statement(self, sql: str) -> None:
         if self.echo:
             self.say(sql.rstrip())
+        began = time.time()
         try:
             for df in self.engine.script(sql):
-                if df is not None and (text := render(df.columns, df.toLocalIterator(), self.mode, self.headers, self.separator, self.null)):
-                    self.say(text)
+                if df is not None:
+                    for line in lines(df.columns, df.toLocalIterator(), self.mode, self.headers, self.separator, self.null):
+                        self.say(line)
+            if self.timer:
+                self.say(f"Run Time: real {time.time() - began:.3f}")
             if self.changes:
                 self.say(f"changes: {self.engine.changed}   total_changes: {self.engine.changes_total}")
         except (EngineError, ValueError) as error:
@@ -68,8 +73,10 @@ class Shell:
             self.say("\n".join(r.sql or f"-- {r.type} {r.name} ON {r.tbl_name}" for r in rows if r.type in kinds and (not args or r.tbl_name.lower() == args[0].lower())))
         elif name in ("mode", "separator", "nullvalue") and args:
             setattr(self, "null" if name == "nullvalue" else name, args[0])
-        elif name in ("headers", "echo", "changes"):
+        elif name in ("headers", "echo", "changes", "timer"):
             setattr(self, name, flag)
+        elif name == "databases":
+            self.say("\n".join(f"{r.name}: {r.file}" for r in self.engine.execute("PRAGMA database_list").collect()))
         elif name == "output":
             self.out = open(args[0], "w") if args else self.screen
         elif name == "read":
@@ -91,8 +98,8 @@ class Shell:
             for t in list(now.tables.values()):
                 if not args or t.name.lower() == args[0].lower():
                     self.say((t.sql or f"-- {t.name}") + ";")
-                    if text := render(t.df.columns, t.df.toLocalIterator(), "insert", table=t.name):
-                        self.say(text)
+                    for line in lines(t.df.columns, t.df.toLocalIterator(), "insert", table=t.name):
+                        self.say(line)
         elif name == "show":
             self.say("\n".join(f"{k}: {getattr(self, k)}" for k in ("mode", "headers", "separator", "null", "echo", "changes")))
         else:

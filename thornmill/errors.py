@@ -2,7 +2,9 @@
 
 
 class EngineError(Exception):
-    """Anything the engine itself rejects."""
+    """Anything the engine itself rejects. ``code`` is the number that databases of this dialect give such errors."""
+
+    code = 1
 
 
 class SyntaxProblem(EngineError):
@@ -12,6 +14,8 @@ class SyntaxProblem(EngineError):
 class ConstraintError(EngineError):
     """A statement whose result would break a constraint; nothing of it remains."""
 
+    code = 19
+
     def __init__(self, kind: str, detail: str) -> None:
         super().__init__(f"{kind} constraint failed: {detail}")
         self.kind, self.detail = kind, detail

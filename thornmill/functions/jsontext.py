@@ -22,8 +22,22 @@ def type_sql(x: str, path: str | None = None) -> str:
     return f"CASE WHEN {v} IS NULL THEN NULL WHEN {kind} = 'VOID' THEN 'null' WHEN {kind} LIKE 'OBJECT%' THEN 'object' WHEN {kind} LIKE 'ARRAY%' THEN 'array' WHEN {kind} = 'STRING' THEN 'text' WHEN {kind} = 'BOOLEAN' THEN to_json({v}) WHEN {kind} = 'BIGINT' THEN 'integer' ELSE 'real' END"
 
 
+def at_sql(x: str, path: str) -> str:
+    """What is at a path: quoted keys and indexes from an array's end ([-1], [#-1]) in Spark's spelling."""
+    if not path.startswith("'"):
+        return f"get_json_object({x}, {path})"
+    found, now = x, "$"
+    for m in re.finditer(r"""\."((?:[^"\\]|\\.)*)"|\[#?-(\d+)\]|\.[^.\["]+|\[\d+\]""", path[1:-1].removeprefix("$")):
+        if m[2]:
+            found = found if now == "$" else f"get_json_object({found}, '{now}')"
+            found, now = f"get_json_object({found}, concat('$[', json_array_length({found}) - {m[2]}, ']'))", "$"
+        else:
+            now += f"[\\'{m[1]}\\']" if m[1] is not None and re.search(r"\W", m[1]) else f".{m[1]}" if m[1] is not None else m[0]
+    return found if now == "$" and found != x else f"get_json_object({found}, '{now}')"
+
+
 def extract_sql(x: str, *paths: str) -> str:
-    found = [f"get_json_object({x}, {p})" for p in paths]
+    found = [at_sql(x, p) for p in paths]
     return found[0] if len(found) == 1 else f"coalesce({', '.join(found)})"
 
 

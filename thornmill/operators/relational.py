@@ -1,4 +1,4 @@
-"""Range joins, GROUPS frames and frames without the current row."""
+"""Range and as-of joins, GROUPS frames and frames without the current row."""
 
 from __future__ import annotations
 
@@ -34,7 +34,18 @@ def excluding_current(value: str, partition: list[str], order: list[str], first:
     return count, total
 
 
-def top_per_group(rows: DataFrame, partition: list[str], order: list[Column | str], k: int) -> DataFrame:
-    """The first k rows of each group; Catalyst cuts to k rows before the shuffle too."""
-    rank = F.row_number().over(Window.partitionBy(*partition).orderBy(*order))
-    return rows.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
+def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
+    """left with the ``values`` of right's latest row of the same ``on`` whose time isn't later, null without one.
+
+    Both sides are one sorted stream for each key and a running last value: one shuffle, linear in the rows,
+    and no pairs. Of right rows with one time, the one with the greatest values counts. Rows with null times or keys match nothing and, on the left, stay.
+    """
+    names = left.columns
+    one = left.select(*(F.col(f"`{c}`").alias(f"l{k}") for k, c in enumerate(names)), *(F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(on)), F.col(left_time).alias("t"), F.lit(1).alias("side"), F.lit(None).alias("v"))
+    kept = right.where(F.col(right_time).isNotNull())
+    for c in on:
+        kept = kept.where(F.col(c).isNotNull())
+    other = kept.select(*(F.lit(None).alias(f"l{k}") for k in range(len(names))), *(F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(on)), F.col(right_time).alias("t"), F.lit(0).alias("side"), F.struct(*values).alias("v"))
+    w = Window.partitionBy(*(f"k{n}" for n in range(len(on)))).orderBy("t", "side", "v").rowsBetween(Window.unboundedPreceding, 0)
+    found = one.unionByName(other).withColumn("v", F.last("v", ignorenulls=True).over(w)).where("side = 1")
+    return found.select(*(F.col(f"l{k}").alias(c) for k, c in enumerate(names)), *(F.col(f"v.`{c}`").alias(c) for c in values))

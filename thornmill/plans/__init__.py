@@ -10,6 +10,7 @@ from .base import Family
 from .changes import F5
 from .relational import F1
 from .scalar import F3
+from .statements import F6
 from .search import F4
 from .windows import F2
 
@@ -20,7 +21,7 @@ _MAIN.same(
     round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(avg(l_quantity), 6) AS avg_qty, round(avg(l_discount), 6) AS avg_disc, CAST(count(*) AS BIGINT) AS count_order
     FROM {lineitem} WHERE l_shipdate <= CAST('1998-09-02' AS TIMESTAMP) GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus""",
 )
-_FAMILIES = (_MAIN, F1, F2, F3, F4, F5)
+_FAMILIES = (_MAIN, F1, F2, F3, F4, F5, F6)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -148,6 +148,8 @@ class Engine:
         self.changed = self.changes_total = self.last_id = 0
         self.settings = {"user_version": 0, "application_id": 0, "foreign_keys": 1}
         self.collations: dict[str, str] = {}
+        self.databases: dict[str, str] = {}
+        self.schema_version = 0
         jsontext.register(self.spark)
         register_elements(self.spark)
         self.spark.sql("CREATE TEMPORARY FUNCTION tm_json_list(parts ARRAY<STRING>) RETURNS STRING RETURN concat('[', array_join(transform(parts, p -> substring(p, 2, length(p) - 2)), ','), ']')")
@@ -247,7 +249,7 @@ class Engine:
         for c in t.columns:
             if c.generated and not c.stored:
                 df = df.withColumn(c.name, F.expr(c.generated).cast(c.kind))
-        df.select(*(F.col(f"`{c.name}`") for c in t.columns), *([F.col("docid")] if t.fulltext else [])).createOrReplaceTempView(t.name)
+        df.select(*(F.col(f"`{c.name}`") for c in t.columns), *([F.col("docid")] if t.fulltext else [])).createOrReplaceTempView(f"`{t.name}`")
 
     def _restore(self, snapshot: Snapshot) -> None:
         for gone in {*self.now.tables, *self.now.views} - {*snapshot.tables, *snapshot.views}:
@@ -276,6 +278,7 @@ class Engine:
     # --- statements
 
     def _statement(self, tokens: list[Token], args: dict) -> DataFrame | None:
+        tokens = self._of_databases(tokens)
         r = _Reader(tokens)
         up = r.peek()
         if up == "EXPLAIN":
@@ -286,9 +289,10 @@ class Engine:
             return self._query(tokens, args)
         handler = {
             "CREATE": self._create, "DROP": self._drop, "ALTER": self._alter, "PRAGMA": self._pragma, "BEGIN": self._begin, "COMMIT": self._commit, "END": self._commit,
-            "ROLLBACK": self._rollback, "SAVEPOINT": self._savepoint, "RELEASE": self._release, "ANALYZE": self._nothing, "REINDEX": self._nothing, "VACUUM": self._vacuum,
+            "ATTACH": self._attach_files, "DETACH": self._detach, "ROLLBACK": self._rollback, "SAVEPOINT": self._savepoint, "RELEASE": self._release, "ANALYZE": self._nothing, "REINDEX": self._nothing, "VACUUM": self._vacuum,
         }.get(up)
         if handler:
+            self.schema_version += up in ("CREATE", "DROP", "ALTER")
             return handler(r)
         if up in ("INSERT", "REPLACE", "UPDATE", "DELETE"):
             return self._change(r, args)
@@ -384,6 +388,53 @@ class Engine:
     def _nothing(self, r: _Reader) -> None:
         return None
 
+    # --- further databases: folders of Parquet tables, as save() leaves them
+
+    def _attach_files(self, r: _Reader) -> None:
+        r.take()
+        r.word("DATABASE")
+        path = r.take().text[1:-1].replace("''", "'")
+        r.need("AS")
+        name = r.name().lower()
+        if name in self.databases or name in ("main", "temp"):
+            raise EngineError(f"database {name} is already in use")
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = [s.getPath() for s in folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(folder)]
+        self.databases[name] = path
+        for p in found:
+            self.attach(f"{name}.{p.getName().removesuffix('.parquet')}", self.spark.read.parquet(p.toString()))
+
+    def _detach(self, r: _Reader) -> None:
+        r.take()
+        r.word("DATABASE")
+        name = r.name().lower()
+        if self.databases.pop(name, None) is None:
+            raise EngineError(f"no such database: {name}")
+        for t in [t for t in self.now.tables.values() if t.name.lower().startswith(f"{name}.")]:
+            del self.now.tables[t.name.lower()]
+            self.spark.catalog.dropTempView(f"`{t.name}`")
+
+    def _of_databases(self, tokens: list[Token]) -> list[Token]:
+        """main.t is t; t of another database is one name with a dot in it."""
+        if not any(t.text == "." for t in tokens):
+            return tokens
+        out, k, names = [], 0, {t.lower() for t in self.now.tables}
+        while k < len(tokens):
+            t = tokens[k]
+            if k + 2 < len(tokens) and tokens[k + 1].text == "." and t.kind in ("word", "quoted") and not (out and out[-1].text == "."):
+                base, inner = name_of(t).lower(), name_of(tokens[k + 2])
+                if base == "main" and "main" not in names:
+                    out.append(tokens[k + 2])
+                    k += 3
+                    continue
+                if base in self.databases:
+                    out.append(Token("quoted", f"`{base}.{inner}`"))
+                    k += 3
+                    continue
+            out.append(t)
+            k += 1
+        return out
+
     def _vacuum(self, r: _Reader) -> None:
         for t in list(self.now.tables.values()):
             self._put(replace(t, writes=MOST_WRITES))
@@ -692,14 +743,14 @@ class Engine:
             found = [(t.name, f.table) for t in self.now.tables.values() for f in t.foreign if not self._orphans(t, f, t.df).isEmpty()]
             return found, "table string, parent string"
         if what == "database_list":
-            return [(0, "main", "")], "seq long, name string, file string"
+            return [(0, "main", ""), *((k + 2, n, p) for k, (n, p) in enumerate(self.databases.items()))], "seq long, name string, file string"
         if what == "function_list":
             return [(f.name,) for f in self.spark.catalog.listFunctions() if f.isTemporary], "name string"
         if what == "collation_list":
             return [(0, "BINARY"), (1, "NOCASE"), (2, "RTRIM")], "seq long, name string"
         if what == "compile_options":
             return [], "compile_options string"
-        fixed = {"encoding": "UTF-8", "journal_mode": "memory", "page_size": 4096, "page_count": len(self.now.tables) + 1, "freelist_count": 0, "schema_version": len(self.now.tables) + len(self.now.views)}
+        fixed = {"encoding": "UTF-8", "journal_mode": "memory", "schema_version": self.schema_version}  # there are no pages to count
         if of is not None and what not in fixed:
             self.settings[what] = int(of) if of.lstrip("-").isdigit() else {"ON": 1, "OFF": 0}.get(of.upper(), of)
             return None, ""
