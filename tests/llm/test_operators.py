@@ -187,7 +187,7 @@ def test_mix_comes_near_its_targets(spark):
 def test_mix_edges(spark):
     docs = frame(spark, [None, "", "a b c", "a b c"], ids=[1, None, 3, 3], source=None)
     got = mixing.mix(docs).toPandas()
-    assert len(got) == 4 and got.taken.sum() in (0, 3, 6, 9, 12, 18) and (got.taken <= 3 * got["size"]).all()
+    assert len(got) == 4 and got.taken.sum() == 6 and (got.taken <= 3 * got["size"]).all()
     assert mixing.mix(docs.limit(0)).count() == 0
     assert mixing.mixed(docs).columns == docs.columns
 
@@ -250,7 +250,7 @@ def test_one_of_each_group_stays(spark):
     docs = frame(spark, texts, ids=[4, 2, 2, 7, 8, 9, None])
     kept = ngram_join.keep_one(docs, 5, 80)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(2, "a b c d e f g"), (7, "q r s"), (8, None), (9, "")] or sorted(str(r.doc_id) for r in kept.collect()) == ["2", "7", "8", "9"]
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(2, "a b c d e f g"), (7, "q r s"), (8, None), (9, "")]
     assert ngram_join.keep_one(docs.limit(0)).count() == 0
 
 

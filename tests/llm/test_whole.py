@@ -40,25 +40,39 @@ def test_dictionaries_are_trained_apart(spark):
     rows = spark.createDataFrame([(t, float(y)) for _, t, y in _labelled(600)], "text string, y double")
     (ordinary, toxic), *_ = pairs = toxicity.dictionaries(rows)
     assert len(pairs) == len(toxicity.PAIRS) and all(zstandard.ZstdCompressionDict(d).dict_id() for pair in pairs for d in pair)
-    spelled = toxicity.Speller().words[b"qwzxkvjbard"]
+    spelled = toxicity.spelled(b" qwzxkvjbard ")[0].tobytes()
     runs = [spelled[k : k + 24] for k in range(0, len(spelled) - 23, 8)]
     assert any(r in toxic for r in runs) and not any(r in ordinary for r in runs)
 
 
+def test_units_are_four_bytes_within_words():
+    codes, starts, places = toxicity.spelled(toxicity.plain("An\tOX a  door"))
+    assert places.tolist() == [0, 3, 9] and starts.tolist() == [0, 1, 2] and len(codes) == 5
+    again, *_ = toxicity.spelled(toxicity.plain("x door an"))
+    assert set(again) == set(codes) - {codes[1]}
+    _, starts, _ = toxicity.spelled(toxicity.plain("y" * 1_000))
+    assert len(starts) == -(-999 // toxicity.LONGEST)
+
+
 def test_windows_run_over_the_whole_text(monkeypatch):
     rng = np.random.default_rng(0)
     words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(300)]
-    spell = toxicity.Speller()
-    a, b = (zstandard.train_dictionary(4_096, [spell.words[w.encode()] for w in some * 30], k=64, d=8).as_bytes() for some in (words[:150], words[150:]))
+    code = lambda t: toxicity.spelled(toxicity.plain(t))[0].tobytes()
+    a, b = (zstandard.train_dictionary(4_096, [code(w) for w in some * 30], k=64, d=8).as_bytes() for some in (words[:150], words[150:]))
     distance = toxicity.Distance([(a, b)])
-    text = " ".join(words[k] for k in rng.integers(0, 300, 900))
-    whole = distance.raw(text)
-    pairs = set(zip(text.encode().split(), text.encode().split()[1:], strict=False))
-    assert whole == sum(sorted(distance.differences(list(pairs)))[-toxicity.TOP :])
-    monkeypatch.setattr(toxicity, "BLOCK", 7)
-    monkeypatch.setattr(toxicity, "REMEMBERED", 10)
-    assert toxicity.Distance([(a, b)]).raw(text) == whole
-    assert distance.raw("x" * 1_000_000) > toxicity.NOTHING and distance.raw(" ") == distance.raw(None) == toxicity.NOTHING
+    every = [words[k] for k in rng.integers(0, 300, 901)]
+    alone = []
+    for k in range(0, len(every) - toxicity.WINDOW + toxicity.STRIDE, toxicity.STRIDE):
+        window = code(" ".join(every[k : k + toxicity.WINDOW]))
+        one = [len(toxicity._compressor(d).compress(window)) for d in (a, b)]
+        alone.append(one[0] - one[1])
+    whole = distance.raw(" ".join(every))
+    assert whole == sum(sorted(alone)[-toxicity.TOP :])
+    for size in (40, 64, 333, 1_000):
+        monkeypatch.setattr(toxicity, "BLOCK", size)
+        assert distance.raw(" ".join(every)) == whole
+    assert distance.raw("x" * 10_000) > toxicity.NOTHING and distance.raw(" " * 500) == distance.raw(None) == toxicity.NOTHING
+    assert distance.raw(" " * 500 + " ".join(every) + " " * 500) >= whole
 
 
 def test_levels_hold_up_to_the_next(spark):

@@ -1,23 +1,24 @@
 """Toxicity by compression distance: zstandard dictionaries trained on toxic and, apart from them, on ordinary text.
 
-A window of running text (each two words that follow each other) is compressed with
+A window of running text (WINDOW words, each STRIDE words after the last) is compressed with
 a dictionary of each kind; it is the more toxic the fewer bytes the toxic one needs by
 comparison. zstandard counts whole bytes and hardly compresses so few letters, so a window is first spelled out:
 each four bytes of a word (its ends marked by blanks) become eight fixed bytes, which cost eight
 bytes where a dictionary lacks them, and little where it has a whole run of them. (Without
 that, dictionaries of the plain text tell next to nothing on such windows; README has figures.)
+Words of one letter have no such unit and aren't looked at.
 
 Dictionaries come from zstandard's own training (``train_dictionary``) on the distinct words
 of toxic and of ordinary labelled documents, in pairs of several sizes, whose differences are added:
 large ones know more words, small ones only what is typical. A document's raw score adds up its TOP most toxic
-distinct windows, found over the whole text. Isotonic regression on labelled rows that the dictionaries haven't seen turns it
+windows, found over the whole text. Isotonic regression on labelled rows that the dictionaries haven't seen turns it
 into a probability.
 
 Fitting uses a sample of about SAMPLE labelled documents (chosen by a hash) and of them at most about
 SAMPLES words of each kind; every document is scored. Folds are crc32(doc_id as text) mod 5; fold 0 is held
 out, fold 4 calibrates. Labels, language, source and id are no inputs of a score.
 
-Defined results: null and empty texts have the lowest raw score; words of more than LONGEST bytes
+Defined results: null and empty texts have the lowest raw score; words of more than LONGEST units
 count as several; very long texts are read to their end, in blocks; a document with several labels takes their mean,
 rounded up; labels that are null or without a document are not used; without labels of both kinds, or with too
 few of one for a dictionary, every score is the share of label 1 (0.5 without any); rows with null
@@ -38,45 +39,41 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, cut, extended, pieces
+from .common import SEPARATORS, Kept, cut, extended, pieces
+from .ngram_join import _mix
 from .quality_model import fold, isotonic, training_labels
 
 SAMPLE, SAMPLES = 20_000, 400_000
-#: Windows that count.
-TOP = 3
-#: Bytes of a unit, of what stands for it, and of the longest word.
-UNIT, CODE, LONGEST = 4, 8, 40
+#: Words of a window, words from one to the next, and windows that count.
+WINDOW, STRIDE, TOP = 3, 2, 3
+#: Bytes of what stands for a unit, and units of the longest word.
+CODE, LONGEST = 8, 40
 #: Bytes of the ordinary and the toxic dictionary of each pair, and of the segments that training picks.
 PAIRS, SEGMENT = ((65_536, 32_768), (20_480, 16_384)), 64
 #: Raw score of a text without words, and the one that means 0.5 where no fold calibrates.
 NOTHING, EVEN = -10_000, 60
-#: Words of a text that are read at a time, windows whose differences a worker remembers, and bytes of its spelled words and units.
-BLOCK, REMEMBERED, WORDS, UNITS = 50_000, 60_000, 24 << 20, 8 << 20
+#: Bytes of a text that are read at a time.
+BLOCK = 2 << 20
+_U, _BLANKS = np.uint64, bytes.maketrans(SEPARATORS, b" " * len(SEPARATORS))
 
 
-def words(text: str | None) -> list[bytes]:
-    """The lower-case words; those that are longer than LONGEST bytes in pieces."""
-    found = (text or "").lower().encode("utf-8", "surrogatepass").split()
-    if any(len(w) > LONGEST for w in found):
-        found = [w[k : k + LONGEST] for w in found for k in range(0, len(w), LONGEST)]
-    return found
+def plain(text: str | None) -> bytes:
+    """Lower-case, with blanks for white space and at both ends."""
+    return b" " + (text or "").lower().encode("utf-8", "surrogatepass").translate(_BLANKS) + b" "
 
 
-class Speller:
-    """Words -> the codes of their units, one after another."""
-
-    def __init__(self) -> None:
-        self.units = Kept(lambda u: hashlib.blake2b(u, digest_size=CODE).digest(), UNITS, lambda u, code: 180)
-        self.words = Kept(self._word, WORDS, lambda w, spelled: 170 + len(w) + len(spelled))
-
-    def _word(self, word: bytes) -> bytes:
-        padded = b" " + word + b" "
-        return b"".join([self.units[padded[k : k + UNIT]] for k in range(max(1, len(padded) - UNIT + 1))])
-
-    def buffer(self, windows: list[tuple[bytes, ...]]) -> zstandard.BufferWithSegments:
-        spelled = [b"".join([self.words[w] for w in window]) for window in windows]
-        sizes = np.fromiter(map(len, spelled), np.uint64, len(spelled))
-        return zstandard.BufferWithSegments(b"".join(spelled), np.stack([np.cumsum(sizes) - sizes, sizes], 1).tobytes())
+def spelled(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes of the units, where in them words begin, and where in the text): a unit is four bytes with blanks at its ends at most; long words are several."""
+    b = np.frombuffer(raw, np.uint8)
+    at = np.flatnonzero((b[1:-2] != 32) & (b[2:-1] != 32)) if len(b) > 3 else np.empty(0, np.int64)
+    codes = _mix(b[at] | b[at + 1].astype(_U) << _U(8) | b[at + 2].astype(_U) << _U(16) | b[at + 3].astype(_U) << _U(24))
+    starts = np.flatnonzero(b[at] == 32)
+    if len(at) and (not len(starts) or starts[0]):
+        starts = np.concatenate([[0], starts])
+    sizes = np.diff(np.append(starts, len(at)))
+    if len(sizes) and sizes.max() > LONGEST:
+        starts = np.concatenate([np.arange(first, first + size, LONGEST) for first, size in zip(starts, sizes, strict=True)])
+    return codes, starts, at[starts]
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -90,36 +87,41 @@ class Distance:
     """pairs: (ordinary, toxic) dictionaries, as they were trained."""
 
     def __init__(self, pairs: list[tuple[bytes, bytes]]) -> None:
-        self.speller = Speller()
         self.pairs = [(_compressor(a), _compressor(b)) for a, b in pairs]
-        self.young: dict[tuple, int] = {}
-        self.old: dict[tuple, int] = {}
-
-    def differences(self, windows: list[tuple[bytes, ...]]) -> list[int]:
-        """For each window, bytes that the ordinary dictionaries need more than the toxic ones."""
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        if new := [w for w in windows if w not in young and w not in old]:
-            spelled = self.speller.buffer(new)
-            total = np.zeros(len(new), np.int64)
-            for ordinary, toxic in self.pairs:
-                for compressor, sign in ((ordinary, 1), (toxic, -1)):
-                    total += sign * np.fromiter(map(len, compressor.multi_compress_to_buffer(spelled, threads=0)), np.int64, len(new))
-            young.update(zip(new, total.tolist(), strict=True))
-        return [young[w] if w in young else young.setdefault(w, old[w]) for w in windows]
+
+    def differences(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """For each window (codes from start to end), bytes that the ordinary dictionaries need more than the toxic ones."""
+        segments = np.stack([starts * CODE, (ends - starts) * CODE], 1).astype(_U)
+        buffer = zstandard.BufferWithSegments(codes.tobytes(), segments.tobytes())
+        total = np.zeros(len(starts), np.int64)
+        for ordinary, toxic in self.pairs:
+            for compressor, sign in ((ordinary, 1), (toxic, -1)):
+                total += sign * np.fromiter(map(len, compressor.multi_compress_to_buffer(buffer, threads=0)), np.int64, len(starts))
+        return total
 
     def raw(self, text: str | None) -> int:
-        found, best, seen = words(text), [], set()
-        for at in range(0, len(found), BLOCK):
-            some = found[at : at + BLOCK + 1]
-            windows = list(set(zip(some, some[1:], strict=False)) - seen if len(some) > 1 else {tuple(some)} if not best else set())
-            top = nlargest(TOP, zip(self.differences(windows), windows, strict=True))
-            seen.update(w for _, w in top)
-            best = nlargest(TOP, best + [d for d, _ in top])
+        whole, best, at = plain(text), [], 0
+        while at < len(whole):
+            codes, starts, places = spelled(whole[at : at + BLOCK])
+            last = at + BLOCK >= len(whole)
+            ends = np.append(starts, len(codes))
+            first = np.arange(0, max(1, len(starts) - WINDOW + (STRIDE if last else 1)), STRIDE) if len(starts) else np.empty(0, np.int64)
+            if not last and len(starts) <= WINDOW:  # hardly anything but blanks
+                first, last_word = first[:1], at + BLOCK - 8
+            else:
+                last_word = at + int(places[first[-1] + STRIDE]) if not last else 0
+            if len(first):
+                found = self.differences(codes, starts[first], ends[np.minimum(first + WINDOW, len(starts))])
+                best = nlargest(TOP, best + nlargest(TOP, found.tolist()))
+            at = len(whole) if last else last_word
         return sum(best) if best else NOTHING
 
 
+def words(text: str | None) -> dict[bytes, None]:
+    """The distinct words, with blanks around them."""
+    return dict.fromkeys(b" " + w + b" " for w in plain(text).split())
+
+
 def _samples(rates: dict[float, float]):
     """(y, words): of each document's distinct words, the share that its kind's rate says, chosen by a hash."""
 
@@ -128,7 +130,7 @@ def _samples(rates: dict[float, float]):
             kinds, lists = [], []
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 below = int(rates[y] * (1 << 32))
-                found = dict.fromkeys(words(text))
+                found = words(text)
                 for some in batched((w for w in found if rates[y] >= 1 or int.from_bytes(hashlib.blake2b(w, digest_size=4, key=str(len(found)).encode()).digest()) < below), 5_000):
                     kinds.append(y)
                     lists.append(list(some))
@@ -141,14 +143,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = {0.0: 0, 1.0: 0}
     for batch in pieces(batches, operator="toxicity"):
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            total[y] += len(set(words(text)))
+            total[y] += len(words(text))
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.float64()), pa.array(list(total.values()), pa.int64())], ["y", "n"])
 
 
 def _train(table: pa.Table) -> pa.Table:
     """(y, size, content): the dictionaries of one kind, none if zstandard finds the samples too few. A group is SAMPLES words or so."""
-    y, speller = table.column("y")[0].as_py(), Speller()
-    samples = [speller.words[w] for found in sorted(table.column("words").to_pylist()) for w in found]
+    y = table.column("y")[0].as_py()
+    code = Kept(lambda w: spelled(w)[0].tobytes(), 64 << 20, lambda w, codes: 150 + len(w) + len(codes))
+    samples = [code[w] for found in sorted(table.column("words").to_pylist()) for w in found if len(w) > 3]
     sizes, contents = [pair[int(y)] for pair in PAIRS], []
     for size in sizes:
         try:
