@@ -88,7 +88,7 @@ def banded(keys: np.ndarray, size: int, percent: int) -> np.ndarray:
     """The keys within the set's band of sizes (a power of two), and within the next one where a larger set may link."""
     band = size.bit_length() - 1
     bands = [band, band + 1] if 100 * size >= percent << band + 1 else [band]
-    return np.concatenate([_mix(keys + _U(b + 1) * _U(0x9E3779B97F4A7C15)) for b in bands])
+    return np.concatenate([_mix(keys + _U((b + 1) * 0x9E3779B97F4A7C15 % 2**64)) for b in bands])
 
 
 def signature(hashes: np.ndarray) -> bytes:
