@@ -41,7 +41,7 @@ from .common import HELD, Kept, enter, extended, pieces
 
 NEVER = 1 << 60
 #: Bytes in which each Python worker keeps chunks with their ids, pairs with their compatibility, and the ends of tokens.
-CHUNKS, PAIRS, SPINES = 72 << 20, 24 << 20, 4 << 20
+CHUNKS, PAIRS, SPINES = 128 << 20, 24 << 20, 4 << 20
 #: Bytes of a word from which its table of prefixes is packed.
 PACKED = 4_096
 #: White space as Unicode defines it (the property White_Space).

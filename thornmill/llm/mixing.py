@@ -34,6 +34,8 @@ from .common import cut, numbered
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
 BLOCKS = 4_096
+#: Least number of shards, and words from which there are more, so that no shard holds much more than that.
+SHARDS, SHARD_WORDS = 64, 16_000_000
 #: Rows of the tables of sources and blocks that may be broadcast (some 180 bytes each).
 BROADCAST_ROWS = 200_000
 #: A word: what bytes.split() would give.
@@ -110,12 +112,13 @@ def _shards(cuts: np.ndarray):
     return run
 
 
-def _blocks(docs: DataFrame, weights, shards: int, seed: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(a row per document: key, size, source; a row per source; a row per block with its shards)."""
+def _blocks(docs: DataFrame, weights, shards: int | None, seed: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(a row per document: key, size, source; a row per source; a row per block with its shards; how many shards)."""
     spark = docs.sparkSession
     light = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.xxhash64(F.lit(seed), id_col, text_col).alias("key")))
     found = light.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).orderBy(F.asc_nulls_last("source")).collect()
     sizes = [r["size"] for r in found]
+    shards = shards or max(SHARDS, -(-sum(sizes) // SHARD_WORDS))
     goal = targets(sizes, [weights[k % len(weights)] for k in range(len(found))]) if found else []
     rows = [(k, r["source"], r["size"], goal[k], min(BLOCKS, r["n"])) for k, r in enumerate(found)]
     sources = spark.createDataFrame(rows, "source_id int, of string, source_size long, target double, blocks int")
@@ -130,18 +133,18 @@ def _blocks(docs: DataFrame, weights, shards: int, seed: int, id_col: str, text_
     blocks = drawn.mapInArrow(_shards(cuts), "source_id int, block int, shards array<int>")
     if sum(r[4] for r in rows) <= BROADCAST_ROWS:
         blocks = F.broadcast(blocks)
-    return light, sources, blocks
+    return light, sources, blocks, shards
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = 64, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int | None = None, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken and shards (one for each copy that is drawn) of each row."""
-    light, _, blocks = _blocks(docs, weights, shards, seed, id_col, text_col, source_col)
+    light, _, blocks, _ = _blocks(docs, weights, shards, seed, id_col, text_col, source_col)
     return light.join(blocks, ["source_id", "block"]).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int = 64, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ordered: bool = False, shard_col: str | None = None) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int | None = None, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ordered: bool = False, shard_col: str | None = None) -> DataFrame:
     """The rows that are drawn, as often as they're drawn, with all their columns; ordered: shard by shard, shuffled within; shard_col: also with the shard's number, by that name."""
-    _, sources, blocks = _blocks(docs, weights, shards, seed, id_col, text_col, source_col)
+    _, sources, blocks, shards = _blocks(docs, weights, shards, seed, id_col, text_col, source_col)
     id_c, text_c, source_c = (f"c{docs.columns.index(c)}" for c in (id_col, text_col, source_col))
     kept = numbered(docs)
     names = kept.columns
