@@ -68,6 +68,7 @@ class Connection:
 
     def close(self) -> None:
         self.rollback()
+        self.engine.close()
 
     def __enter__(self) -> Connection:
         if not self.engine.saved:

@@ -9,6 +9,7 @@ written to the shared folder, which ends their lineage.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import functools
 import os
@@ -149,7 +150,7 @@ class Engine:
         self.settings = {"user_version": 0, "application_id": 0, "foreign_keys": 1}
         self.collations: dict[str, str] = {}
         self.databases: dict[str, str] = {}
-        self.schema_version = 0
+        self.schema_version, self.home, self.folders = 0, None, 0
         jsontext.register(self.spark)
         register_elements(self.spark)
         self.spark.sql("CREATE TEMPORARY FUNCTION tm_json_list(parts ARRAY<STRING>) RETURNS STRING RETURN concat('[', array_join(transform(parts, p -> substring(p, 2, length(p) - 2)), ','), ']')")
@@ -215,6 +216,22 @@ class Engine:
         rows += [("index", i.name, i.table, None) for i in self.now.indexes.values()]
         return self.spark.createDataFrame(rows, "type string, name string, tbl_name string, sql string")
 
+    def _folder(self) -> str:
+        """A new folder within the engine's own, which goes when the engine is closed or the driver ends."""
+        if self.home is None:
+            self.home = shared_folder(self.spark)
+            atexit.register(self.close)
+        self.folders += 1
+        return f"{self.home}/{self.folders}"
+
+    def close(self) -> None:
+        """Remove what the engine has written; its tables can't be read any more, nor results that aren't collected."""
+        if self.home is not None:
+            with contextlib.suppress(Exception):  # the session may be gone, and the folder is only scratch
+                target = self.spark._jvm.org.apache.hadoop.fs.Path(self.home)
+                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+            self.home = None
+
     def save(self, path: str) -> None:
         """Every table as Parquet below ``path``."""
         for t in self.now.tables.values():
@@ -237,7 +254,7 @@ class Engine:
 
     def _put(self, t: Table) -> None:
         if t.writes >= MOST_WRITES:
-            path = shared_folder(self.spark)
+            path = self._folder()
             t.df.write.parquet(path)
             t = replace(t, df=self.spark.read.schema(t.df.schema).parquet(path), writes=0, settled=True)
         self.now.tables[t.name.lower()] = t
@@ -412,7 +429,7 @@ class Engine:
             raise EngineError(f"no such database: {name}")
         for t in [t for t in self.now.tables.values() if t.name.lower().startswith(f"{name}.")]:
             del self.now.tables[t.name.lower()]
-            self.spark.catalog.dropTempView(f"`{t.name}`")
+            self.spark.catalog.dropTempView(t.name)
 
     def _of_databases(self, tokens: list[Token]) -> list[Token]:
         """main.t is t; t of another database is one name with a dot in it."""
@@ -905,7 +922,7 @@ class Engine:
 
     def _pin(self, rows: DataFrame) -> DataFrame:
         """Rows that are about to be read several times, written once; small ones too, since a plan may hold random values."""
-        path = shared_folder(self.spark)
+        path = self._folder()
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
