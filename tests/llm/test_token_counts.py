@@ -1,6 +1,8 @@
 """Token counts against the libraries, and what the cache does."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from thornmill.llm import queries, token_counts
 from thornmill.llm.bpe import resolve
@@ -18,6 +20,21 @@ def test_counts_equal_the_library(text):
     assert token_counts.counter(resolve("byte_bpe_50k.json"))([text]) == [library(text)]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([" ", "\n", "\t", "a", "the", "'s", "'ll", "1", "é", "\0", "\r", "<|endoftext|>", "🙂", "\x1c", "\x85", "Th", ".", "日本"]), max_size=14).map("".join) | st.text(max_size=30), max_size=5))
+def test_counts_of_any_texts_equal_the_library(texts):
+    assert token_counts.counter(resolve("byte_bpe_50k.json"))(texts) == [library(t) for t in texts]
+
+
+def test_counts_stay_right_as_pieces_are_forgotten(monkeypatch):
+    monkeypatch.setattr(token_counts, "MOST", 3)
+    monkeypatch.setattr(token_counts, "LONGEST", 6)
+    count = token_counts.counter.__wrapped__(resolve("byte_bpe_50k.json"))
+    for texts in (["the cat", "a much longerwordthanothers"], ["the dog the cat"], [], ["cat the", "", "longerwordthanothers"]):
+        assert count(texts) == [library(t) for t in texts]
+        assert len(count.young) + len(count.old) < 20 and not any(len(c) > 6 for c in [*count.young, *count.old])
+
+
 def test_every_row_keeps_its_row(spark):
     rows = [(1, "the cat", 1), (1, "the cat", 2), (None, None, 3), (2, "", 4), (3, "x " * 600, 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, digest int")

@@ -67,6 +67,29 @@ def byte_letters() -> dict[int, str]:
     return letters | {b: chr(0x100 + k) for k, b in enumerate(rest)}
 
 
+class Chunker:
+    """Texts in pieces that a byte-level tokenizer encodes one by one: some words, or a special token."""
+
+    def __init__(self, special: list[str]) -> None:
+        self.special = special
+        self.around = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
+        self.split = regex.compile(_SPLIT).findall
+        self.doubled = re.compile(f"[{_SPACE}][{_SPACE}]|\0").search
+
+    def plain(self, text: str) -> list[str]:
+        """Where no white space follows white space, words end before each blank and on both sides of each line end; else the pattern says where."""
+        if self.doubled(text):
+            return self.split(text)
+        chunks = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+        return chunks[not chunks[0] : len(chunks) - (not chunks[-1])]
+
+    def __call__(self, text: str) -> list[str]:
+        """A piece that is a special token's text stands for that token."""
+        if not any(t in text for t in self.special):
+            return self.plain(text)
+        return [c for k, part in enumerate(self.around(text)) for c in ([part] if k % 2 else self.plain(part) if part else [])]
+
+
 class PrefixBpe:
     """A byte-level BPE tokenizer file, read once by each process."""
 
@@ -78,8 +101,7 @@ class PrefixBpe:
         self.bytes_of = {i: bytes(t.translate(byte_of).encode("latin-1")) if all(ord(c) in byte_of for c in t) else t.encode() for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
-        self.around = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.split = regex.compile(_SPLIT).findall
+        self.chunker = Chunker(list(self.special))
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.born: dict[int, int] = {}  # rank of the merge that makes a token; bytes are there from the start
@@ -98,7 +120,6 @@ class PrefixBpe:
                 self.automaton.add_word(self.bytes_of[i].decode("latin-1"), i << 16 | len(self.bytes_of[i]))
         self.automaton.make_automaton()
         self.chunks = Kept(self._chunk, CHUNKS, lambda chunk, found: 270 + 2 * len(chunk) + len(found[0]))
-        self.doubled = re.compile(f"[{_SPACE}][{_SPACE}]|\0").search
 
     def _spine(self, token: int, side: int) -> array:
         """The tokens that stood at this end while ``token`` was merged, first to last: each was merged away when the next was born."""
@@ -146,7 +167,7 @@ class PrefixBpe:
 
     def _chunk(self, chunk: str) -> tuple[str, str]:
         """Ids joined by commas, and what they decode to (the chunk itself, if the text is valid)."""
-        words = self.split(chunk)
+        words = self.chunker.split(chunk)
         if len(words) > 1:
             parts = [self.chunks[w] for w in words]
             return ",".join([p[0] for p in parts]), "".join([p[1] for p in parts])
@@ -154,27 +175,12 @@ class PrefixBpe:
         decoded = self.join(ids).decode("utf-8", "replace")
         return ",".join(map(str, ids)), chunk if decoded == chunk else decoded
 
-    def _records(self, text: str) -> list[tuple[str, str]]:
-        """Where no white space follows white space, words end before each blank and on both sides of each line end; else the pattern says where."""
-        if self.doubled(text):
-            chunks = self.split(text)
-        else:
-            chunks = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-            chunks = chunks[not chunks[0] : len(chunks) - (not chunks[-1])]
-        kept = self.chunks
-        return [kept[c] for c in chunks]
-
     def records(self, text: str) -> list[tuple[str, str]]:
         """What ``_chunk`` gives, for each chunk and special token of the text."""
-        if not any(t in text for t in self.special):
-            return self._records(text)
-        found = []
-        for k, part in enumerate(self.around.split(text)):
-            if k % 2:
-                found.append((str(self.special[part]), part))
-            elif part:
-                found += self._records(part)
-        return found
+        kept, special = self.chunks, self.special
+        if not any(t in text for t in special):
+            return [kept[c] for c in self.chunker.plain(text)]
+        return [(str(special[c]), c) if c in special else kept[c] for c in self.chunker(text)]
 
     def encode(self, text: str | None) -> list[int]:
         joined = ",".join([r[0] for r in self.records(text or "")])

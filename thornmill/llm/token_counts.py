@@ -16,6 +16,7 @@ repeated or null ids kept; an empty table gives no rows; other columns are not r
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
@@ -26,14 +27,47 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import resolve
+from .bpe import Chunker, resolve
 from .common import HELD, cut, enter, membership, pieces, present, shared_dir
 
 #: Digests that a task remembers while it drops copies; older ones are forgotten, which costs a row and never a result.
 SEEN = 100_000
+#: Pieces of texts whose counts a worker remembers (twice that many at most, some 150 bytes each), and letters of the longest.
+MOST, LONGEST = 200_000, 256
 SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
 
+class ChunkCounts:
+    """Token counts by the library, asked once for each distinct piece that texts have in common: two generations of MOST pieces are remembered."""
+
+    def __init__(self, library, chunker: Chunker) -> None:
+        self.library, self.chunker, self.young, self.old = library, chunker, {}, {}
+
+    def __call__(self, texts: list[str]) -> list[int]:
+        lists = [self.chunker(t) for t in texts]
+        young, old, new = self.young, self.old, []
+        for c in set().union(*lists) - young.keys():
+            if c in old:
+                young[c] = old[c]
+            else:
+                new.append(c)
+        young.update(zip(new, map(len, self.library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        totals = [sum(map(young.__getitem__, found)) for found in lists]
+        for c in new:
+            if len(c) > LONGEST:
+                del young[c]
+        if len(young) > MOST:
+            self.young, self.old = {}, young
+        return totals
+
+
+def _byte_level(spec: dict) -> bool:
+    """Does the file split texts as byte-level tokenizers do, so that pieces can be counted one by one?"""
+    split = spec.get("pre_tokenizer") or {}
+    plain = not any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized"))
+    return plain and spec["model"]["type"] == "BPE" and not spec.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+
+
 @lru_cache(maxsize=4)
 def counter(path: str) -> Callable[[list[str]], list[int]]:
     """texts -> tokens of each, as the library for the file counts them: tokenizers for .json, sentencepiece for .model."""
@@ -49,6 +83,10 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    if _byte_level(spec):
+        return ChunkCounts(library, Chunker([t["content"] for t in spec["added_tokens"]]))
     return lambda texts: [len(e) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
 
 

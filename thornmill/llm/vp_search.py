@@ -239,15 +239,15 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 10, factor: floa
         return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")).where(good)
 
     vectors = valid(embeddings)
-    count, distinct = vectors.agg(F.count("*"), F.count_distinct("vec_id")).first()
-    if count != distinct:
+    lengths = cut(vectors.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids")))
+    if not lengths.where("n <> ids").isEmpty():
         vectors = vectors.dropDuplicates(["vec_id", "embedding"])
     copy = F.row_number().over(Window.partitionBy("print", "embedding").orderBy("vec_id"))
     vectors = vectors.withColumn("print", F.xxhash64("embedding")).withColumn("copy", copy).where(F.col("copy") <= k + 1)
     vectors = vectors.select(F.size("embedding").alias("dim"), "vec_id", "embedding")
     asked = valid(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).select(F.size("embedding").alias("dim"), "vec_id", "embedding")
 
-    sizes = {r.dim: r.n for r in valid(embeddings).groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).where(F.col("n") > SHARD).collect()}  # count / SHARD rows at most
+    sizes = {r.dim: r.n for r in lengths.where(F.col("n") > SHARD).collect()}  # one in SHARD of the vectors at most, if each length has just that many
     directories = {}
     if sizes:
         share = F.when(F.lit(False), 0.0)
