@@ -53,3 +53,12 @@ def test_rounding_keeps_ties(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     assert sorted(con.sql(plans.oracle_sql()["fn_round"]).fetchall()) == sorted(got)
+
+
+def test_dates_of_any_year_equal_duckdb(spark, tmp_path):
+    days = [0, 2_932_896, 2_932_897, 6_000_000, 100_000_000, -719_528, -719_529, -800_000, None]
+    got = rows(spark, tmp_path, "fn_from_unixepoch", events=("event_id long", [(d,) for d in days]))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(got, key=str) == sorted(con.sql(plans.oracle_sql()["fn_from_unixepoch"]).fetchall(), key=str)
+    assert dict(got)[2_932_897] == "10000-01-01 00:00:00"

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import re
 
+#: The year, in four digits at least and without a plus sign, which date_format puts before years of more digits.
+_YEAR = "if(year({t}) BETWEEN 0 AND 9999, date_format({t}, 'yyyy'), cast(year({t}) AS string))"
+_DATE = f"concat({_YEAR}, date_format({{t}}, '-MM-dd'))"
+_DATETIME = f"concat({_YEAR}, date_format({{t}}, '-MM-dd HH:mm:ss'))"
 #: What each code of strftime stands for, as an expression over a timestamp {t}.
 CODES = {
     "d": "date_format({t}, 'dd')",
     "e": "lpad(cast(day({t}) AS string), 2, ' ')",
     "f": "concat(date_format({t}, 'ss'), '.', date_format({t}, 'SSS'))",
-    "F": "date_format({t}, 'yyyy-MM-dd')",
+    "F": _DATE,
     "H": "date_format({t}, 'HH')",
     "I": "date_format({t}, 'hh')",
     "j": "date_format({t}, 'DDD')",
@@ -24,7 +28,7 @@ CODES = {
     "u": "cast((dayofweek({t}) + 5) % 7 + 1 AS string)",
     "w": "cast(dayofweek({t}) - 1 AS string)",
     "W": "lpad(cast(cast(floor((dayofyear({t}) + 6 - (dayofweek({t}) + 5) % 7) / 7) AS int) AS string), 2, '0')",
-    "Y": "date_format({t}, 'yyyy')",
+    "Y": _YEAR,
 }
 
 
@@ -62,7 +66,7 @@ def _moved(t: str, mod: str) -> str:
 
 
 def date(x: str, modifiers: list[str] = ()) -> str:
-    return f"date_format({timestamp(x, modifiers)}, 'yyyy-MM-dd')"
+    return _DATE.format(t=timestamp(x, modifiers))
 
 
 def time(x: str, modifiers: list[str] = ()) -> str:
@@ -70,7 +74,7 @@ def time(x: str, modifiers: list[str] = ()) -> str:
 
 
 def datetime(x: str, modifiers: list[str] = ()) -> str:
-    return f"date_format({timestamp(x, modifiers)}, 'yyyy-MM-dd HH:mm:ss')"
+    return _DATETIME.format(t=timestamp(x, modifiers))
 
 
 def julianday(x: str, modifiers: list[str] = ()) -> str:
