@@ -1,6 +1,7 @@
 """Registered queries read their tables whole: rows of high ids count like the others."""
 
 import duckdb
+import pytest
 
 from thornmill import plans
 
@@ -62,3 +63,19 @@ def test_dates_of_any_year_equal_duckdb(spark, tmp_path):
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert sorted(got, key=str) == sorted(con.sql(plans.oracle_sql()["fn_from_unixepoch"]).fetchall(), key=str)
     assert dict(got)[2_932_897] == "10000-01-01 00:00:00"
+
+
+@pytest.mark.parametrize("lines", [[(3, 0.06), (5, 0.05)], [(3, 0.06), (None, 0.06)], [(3, 0.05), (None, None)], [(None, 0.05), (1, 0.06), (1, 0.07)]])
+def test_not_in_follows_sql_without_a_broadcast(spark, tmp_path, lines):
+    got = rows(spark, tmp_path, "anti_not_in", part=("p_partkey long", [(1,), (3,), (None,)]), lineitem=("l_partkey long, l_discount double", lines))
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(got, key=str) == sorted(con.sql(plans.oracle_sql()["anti_not_in"]).fetchall(), key=str)
+    # the table of the subquery is never sent whole: with broadcasts off, Spark still broadcasts for NOT IN
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = plans.queries()["anti_not_in"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Broadcast" not in plan

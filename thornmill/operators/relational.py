@@ -1,4 +1,4 @@
-"""Range and as-of joins, GROUPS frames and frames without the current row."""
+"""Range and as-of joins, NOT IN, GROUPS frames and frames without the current row."""
 
 from __future__ import annotations
 
@@ -18,6 +18,21 @@ def range_join(points: DataFrame, spans: DataFrame, point: str, low: str, high:
     return left.join(right, cell).where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop(cell)
 
 
+def not_in(rows: DataFrame, column: str, others: DataFrame, other: str) -> DataFrame:
+    """The rows whose ``column`` is NOT IN the ``other`` column of others, by SQL's logic of nulls.
+
+    Spark's own plan for NOT IN broadcasts all of others. Here both sides are dealt out by the key, that of
+    others once for each value, and only two truths come to the driver: whether others have rows, and whether
+    they have a null. Nothing is outside of a set with a null; everything, null too, is outside of an empty one.
+    """
+    keys = others.select(F.col(f"`{other}`").alias("__key"))
+    nulls = keys.agg(F.coalesce(F.max(F.col("__key").isNull().cast("int")), F.lit(-1)).alias("n")).first().n  # -1: no rows
+    if nulls < 0:
+        return rows
+    kept = rows.where(F.col(f"`{column}`").isNotNull())
+    return kept.where(F.lit(False)) if nulls else kept.join(keys.distinct(), F.col(f"`{column}`") == F.col("__key"), "left_anti")
+
+
 def groups_window(rows: DataFrame, partition: list[str], order: list[str], first: int, last: int) -> tuple[DataFrame, WindowSpec]:
     """rows with a hidden peer number, and the window GROUPS BETWEEN first AND last: a range over the dense rank of the peers."""
     rank = F.dense_rank().over(Window.partitionBy(*partition).orderBy(*order))
