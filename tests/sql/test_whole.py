@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from thornmill import plans
+from thornmill.operators import relational
 
 
 def rows(spark, folder, name, **tables):
@@ -79,3 +81,16 @@ def test_not_in_follows_sql_without_a_broadcast(spark, tmp_path, lines):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Broadcast" not in plan
+
+
+def test_few_keys_join_cuts_large_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(relational, "PART", 7)
+    monkeypatch.setattr(relational, "TASK_PAIRS", 100)
+    customers = [(i, f"c{i % 90}", 5 if i % 3 else 6) for i in range(120)] + [(200, "n", None), (201, "alone", 7), (202, None, 8)]
+    suppliers = [(i, f"s{i % 40}", 5 if i % 5 else 6) for i in range(50)] + [(60, "n", None), (61, "none", 9), (62, "eight", 8)]
+    got = rows(spark, tmp_path, "join_using", customer=("c_custkey long, c_name string, c_nationkey int", customers), supplier=("s_suppkey long, s_name string, s_nationkey int", suppliers))
+    want = [(k, c, s) for _, c, k in customers for _, s, n in suppliers if k is not None and k == n]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    found = plans.queries()["join_using"](spark, str(tmp_path))
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 8 and max(sizes) < len(want) / 3  # by the key alone, one task makes more than half

@@ -1,4 +1,4 @@
-"""Range and as-of joins, NOT IN, GROUPS frames and frames without the current row."""
+"""Range and as-of joins, NOT IN, joins by few keys, GROUPS frames and frames without the current row."""
 
 from __future__ import annotations
 
@@ -33,6 +33,33 @@ def not_in(rows: DataFrame, column: str, others: DataFrame, other: str) -> DataF
     return kept.where(F.lit(False)) if nulls else kept.join(keys.distinct(), F.col(f"`{column}`") == F.col("__key"), "left_anti")
 
 
+#: Rows of a part of ``few_keys_join``, and pairs of a task.
+PART, TASK_PAIRS = 2_048, 40_000_000
+
+
+def few_keys_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left JOIN right USING (key) where few keys hold most of the rows: key, left's other columns, right's.
+
+    Dealt out by the key alone, no more tasks work than there are keys. Here the rows that either side has of a key are
+    cut into parts of about PART rows, and each part of left meets each of right's in a cell; cells are what is
+    dealt out. A part is repeated for the other side's parts, which is little beside the pairs that come of it.
+    Keys without that many rows are one cell. Null keys match nothing.
+    """
+    of = lambda df, n: df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(n))
+    counts = of(left, "__l").join(of(right, "__r"), key)
+    pairs = int(counts.agg(F.sum(F.col("__l").cast("double") * F.col("__r"))).first()[0] or 0)
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // TASK_PAIRS))
+    large = F.broadcast(counts.where((F.col("__l") > PART) | (F.col("__r") > PART)))  # a row for PART rows at most
+    parts = {n: F.coalesce(F.ceil(F.col(n) / PART), F.lit(1)) for n in ("__l", "__r")}
+
+    def cells(df: DataFrame, own: str, other: str) -> DataFrame:
+        rows = df.where(F.col(key).isNotNull()).withColumn("__at", F.xxhash64(F.monotonically_increasing_id())).join(large, key, "left")
+        each = rows.withColumn(f"{own}p", F.pmod("__at", parts[own])).withColumn(f"{other}p", F.explode(F.sequence(F.lit(0).cast("long"), parts[other] - 1)))
+        return each.drop("__at", "__l", "__r").repartition(tasks, key, "__lp", "__rp")
+
+    return cells(left, "__l", "__r").join(cells(right, "__r", "__l"), [key, "__lp", "__rp"]).drop("__lp", "__rp")
+
+
 def groups_window(rows: DataFrame, partition: list[str], order: list[str], first: int, last: int) -> tuple[DataFrame, WindowSpec]:
     """rows with a hidden peer number, and the window GROUPS BETWEEN first AND last: a range over the dense rank of the peers."""
     rank = F.dense_rank().over(Window.partitionBy(*partition).orderBy(*order))
