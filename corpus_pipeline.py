@@ -29,8 +29,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each drawn document."""
-    return bpe.encode(docs, "byte_bpe_50k.json", ids=True)
+    """Token ids of each drawn document; workers of the stages before are still there, so each keeps little and lets go of it."""
+    return bpe.encode(docs, "byte_bpe_50k.json", ids=True, chunks=24 << 20, stay=False)
 
 
 STAGES = [("quality rules", quality), ("n-gram Jaccard join", deduplicate), ("secret scans", redact), ("mixing sources", mix), ("BPE encoding", encode)]

@@ -2,9 +2,11 @@
 
 import hashlib
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql.types import LongType, StructField, StructType
 
 from thornmill.llm import bpe, queries
 
@@ -58,3 +60,27 @@ def test_query_over_the_whole_table(spark):
         ids = library(d.text)
         want = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(LIBRARY.decode(ids, skip_special_tokens=False).encode()).hexdigest())
         assert (got[d.doc_id].n_tokens, got[d.doc_id].ids_sha256, got[d.doc_id].decoded_sha256) == want
+
+
+def test_tables_go_with_the_task_if_asked(spark):
+    """Ids are the same, and a worker that has ended such a task holds no tables."""
+    rows = spark.createDataFrame([(k, f"the word{k} of the other {k % 7}") for k in range(50)], "doc_id long, text string").coalesce(1)
+    small = bpe.encode(rows, ids=True, chunks=4_096, stay=False)
+    assert sorted(map(str, small.collect())) == sorted(map(str, bpe.encode(rows, ids=True).collect()))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["the other"]})
+    for stay in (True, False):
+        run = bpe.encode(_Rows(), stay=stay)
+        assert [b.num_rows for b in run(iter([batch]))] == [1]
+        assert bpe.codec.cache_info().currsize == stay
+
+
+class _Rows:
+    """Gives what a worker would run, so that this process can be the worker."""
+
+    schema = StructType([StructField("doc_id", LongType())])
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run

@@ -203,8 +203,12 @@ def _release() -> None:
         gc.unfreeze()
 
 
-def encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids (array<int>, if asked for), ids_sha256, decoded_sha256 of each row. No shuffle: each row for itself."""
+def encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", ids: bool = True, id_col: str = "doc_id", text_col: str = "text", chunks: int = CHUNKS, stay: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids (array<int>, if asked for), ids_sha256, decoded_sha256 of each row. No shuffle: each row for itself.
+
+    chunks: bytes of kept chunks; stay: the tables stay for a worker's next task. Spark hands tasks to idle workers in turn, so after
+    operators with several workers a task, all of these would hold tables.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     names = ["n_tokens", *(["ids"] if ids else []), "ids_sha256", "decoded_sha256"]
 
@@ -213,6 +217,7 @@ def encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", ids: bool = Tr
         model = codec(resolve(tokenizer))
         gc.freeze()  # the tables stay; collecting over them again and again takes a fifth of the time
         gc.set_threshold(200_000, 20, 100)
+        model.chunks.half = chunks // 2
         for batch in pieces(batches, most=2 << 20, operator="bpe"):
             counts, lists, coded, decoded = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -225,6 +230,9 @@ def encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", ids: bool = Tr
                     lists.append(np.fromstring(joined, np.int32, sep=",") if joined else np.empty(0, np.int32))
             arrays = [batch.column(0), pa.array(counts, pa.int64()), *([pa.array(lists, pa.list_(pa.int32()))] if ids else []), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *names])
+        if not stay:
+            del model
+            enter("")
 
     kinds = {"n_tokens": "long", "ids": "array<int>"}
     return rows.mapInArrow(run, extended(rows.select("doc_id"), *((n, kinds.get(n, "string")) for n in names)))

@@ -103,6 +103,11 @@ def enter(operator: str) -> None:
         if name != operator:
             drop()
     gc.collect()
+    settle()
+
+
+def settle() -> None:
+    """Freed memory goes back to the system: workers that wait for a task beside those at work shouldn't hold any."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not every C library can
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -117,6 +122,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8
         step = max(1, min(rows, rows * most // size)) if rows else 1
         for at in range(0, rows, step):
             yield batch.slice(at, step)
+    settle()
 
 
 class Kept(dict):
