@@ -75,6 +75,30 @@ def test_windows_run_over_the_whole_text(monkeypatch):
     assert distance.raw(" " * 500 + " ".join(every) + " " * 500) >= whole
 
 
+def test_a_unit_stands_for_all_that_comes_before_in_its_word():
+    code = lambda t: set(toxicity.spelled(toxicity.plain(t))[0].tolist())
+    assert len(code("lowei") & code("loweichen")) == 3 and not code("loweichen") & code("anloweichen")
+    assert code("loweichen") == code("b loweichen") and code("xlowei") == code("y\nxlowei b")
+
+
+def test_ordinary_syllables_in_a_rare_order_are_told(spark):
+    """Toxic words begin with two syllables that ordinary words hold too, but not at their beginning."""
+    rng = np.random.default_rng(5)
+    parts = ["lo", "wei", "stra", "an", "ig", "eu", "ich", "ung", "be", "schaft", "ver", "ter", "keit", "zu", "en", "ge", "au", "pf", "heit", "tum"]
+    rows = []
+    for i in range(600):
+        every = ["".join(rng.choice(parts, int(k))) for k in rng.integers(1, 4, 80)]
+        every = ["an" + w if w.startswith("lowei") else w for w in every]
+        if i % 2:
+            for at in rng.integers(0, 80, 5):
+                every[at] = "lowei" + str(rng.choice(parts))
+        rows.append((i, " ".join(every), i % 2))
+    got = toxicity.score(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")).toPandas()
+    held = got[got.held_out]
+    toxic = held.doc_id % 2 == 1
+    assert held.predicted[toxic].mean() > 0.9 and held.predicted[~toxic].mean() < 0.1
+
+
 def test_levels_hold_up_to_the_next(spark):
     raw = spark.createDataFrame([(0,), (4,), (5,), (39,), (500,)], "raw int")
     at = lambda *of: [r.p for r in raw.select(toxicity.probability(F.col("raw"), *of).alias("p")).collect()]

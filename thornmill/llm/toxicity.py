@@ -3,9 +3,10 @@
 A window of running text (WINDOW words, each STRIDE words after the last) is compressed with
 a dictionary of each kind; it is the more toxic the fewer bytes the toxic one needs by
 comparison. zstandard counts whole bytes and hardly compresses so few letters, so a window is first spelled out:
-each four bytes of a word (its ends marked by blanks) become eight fixed bytes, which cost eight
-bytes where a dictionary lacks them, and little where it has a whole run of them. (Without
-that, dictionaries of the plain text tell next to nothing on such windows; README has figures.)
+each beginning of a word of four bytes or more (its ends marked by blanks) becomes eight fixed bytes, which cost
+eight bytes where a dictionary lacks them, and little where it has a whole run of them. (Without
+that, dictionaries of the plain text tell next to nothing on such windows; README has figures.) A beginning stands for
+all that comes before in its word, so ordinary syllables in a rare order don't match the same syllables elsewhere.
 Words of one letter have no such unit and aren't looked at.
 
 Dictionaries come from zstandard's own training (``train_dictionary``) on the distinct words
@@ -45,11 +46,13 @@ from .quality_model import fold, isotonic, training_labels
 
 SAMPLE, SAMPLES = 20_000, 400_000
 #: Words of a window, words from one to the next, and windows that count.
-WINDOW, STRIDE, TOP = 3, 2, 3
+WINDOW, STRIDE, TOP = 3, 3, 2
 #: Bytes of what stands for a unit, and units of the longest word.
 CODE, LONGEST = 8, 40
+#: What the last byte of each further unit of a word is multiplied by.
+_WEIGHTS = _mix(np.arange(1, LONGEST + 1, dtype=np.uint64)) | np.uint64(1)
 #: Bytes of the ordinary and the toxic dictionary of each pair, and of the segments that training picks.
-PAIRS, SEGMENT = ((65_536, 32_768), (20_480, 16_384)), 64
+PAIRS, SEGMENT = ((110_000, 65_536), (32_768, 16_384)), 32
 #: Raw score of a text without words, and the one that means 0.5 where no fold calibrates.
 NOTHING, EVEN = -10_000, 60
 #: Bytes of a text that are read at a time.
@@ -63,21 +66,25 @@ def plain(text: str | None) -> bytes:
 
 
 def spelled(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes of the units, where in them words begin, and where in the text): a unit is four bytes with blanks at its ends at most; long words are several."""
+    """(codes of the units, where in them words begin, and where in the text): a unit is a word's beginning, a byte longer than the one before, the first of four bytes with blanks at their ends at most; long words are several."""
     b = np.frombuffer(raw, np.uint8)
     at = np.flatnonzero((b[1:-2] != 32) & (b[2:-1] != 32)) if len(b) > 3 else np.empty(0, np.int64)
-    codes = _mix(b[at] | b[at + 1].astype(_U) << _U(8) | b[at + 2].astype(_U) << _U(16) | b[at + 3].astype(_U) << _U(24))
     starts = np.flatnonzero(b[at] == 32)
     if len(at) and (not len(starts) or starts[0]):
         starts = np.concatenate([[0], starts])
     sizes = np.diff(np.append(starts, len(at)))
     if len(sizes) and sizes.max() > LONGEST:
         starts = np.concatenate([np.arange(first, first + size, LONGEST) for first, size in zip(starts, sizes, strict=True)])
-    return codes, starts, at[starts]
+        sizes = np.diff(np.append(starts, len(at)))
+    places = at[starts]
+    codes = (b[at + 3].astype(_U) + _U(1)) * _WEIGHTS[np.arange(len(at)) - np.repeat(starts, sizes)]
+    codes[starts] = b[places] | b[places + 1].astype(_U) << _U(8) | b[places + 2].astype(_U) << _U(16) | b[places + 3].astype(_U) << _U(24)
+    before = np.cumsum(codes, dtype=_U)
+    return _mix(before - np.repeat(before[starts] - codes[starts], sizes)), starts, places
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    settings = zstandard.ZstdCompressionParameters(compression_level=1, window_log=17, hash_log=14, chain_log=14, strategy=zstandard.STRATEGY_FAST, target_length=1, min_match=5, write_content_size=0, write_checksum=0, write_dict_id=0)
+    settings = zstandard.ZstdCompressionParameters(compression_level=1, window_log=17, hash_log=15, chain_log=14, strategy=zstandard.STRATEGY_FAST, target_length=1, min_match=5, write_content_size=0, write_checksum=0, write_dict_id=0)
     dictionary = zstandard.ZstdCompressionDict(content)
     dictionary.precompute_compress(compression_params=settings)
     return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings)
@@ -105,7 +112,7 @@ class Distance:
             codes, starts, places = spelled(whole[at : at + BLOCK])
             last = at + BLOCK >= len(whole)
             ends = np.append(starts, len(codes))
-            first = np.arange(0, max(1, len(starts) - WINDOW + (STRIDE if last else 1)), STRIDE) if len(starts) else np.empty(0, np.int64)
+            first = np.arange(0, max(1, len(starts) - WINDOW + (STRIDE if last else 0)), STRIDE) if len(starts) else np.empty(0, np.int64)
             if not last and len(starts) <= WINDOW:  # hardly anything but blanks
                 first, last_word = first[:1], at + BLOCK - 8
             else:
